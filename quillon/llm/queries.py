@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import letters_and_digits
-from quillon.llm import batches, folding, mixing, packing, survivors, terms
+from quillon.llm import batches, folding, mixing, packing, subjects, survivors, terms
 from quillon.llm.tokens import sized
 from quillon.operators.dedupe import once
 from quillon.session import configure
@@ -119,8 +119,26 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("source", "target_share", "wanted_share", "max_repeats", "available", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"))
 
 
+def _assigned(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, folder, "documents")
+    model = subjects.train(*subjects.sample(docs, table(spark, folder, "subject_labels"), table(spark, folder, "subjects")))
+    return subjects.assigned(once(docs.select("doc_id", "text"), "doc_id"), model)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _assigned(spark, folder).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each subject, and their share of all documents."""
+    total = table(spark, folder, "documents").agg(F.countDistinct("doc_id").alias("all"))
+    counted = _assigned(spark, folder).groupBy("subject").agg(F.count("*").alias("documents"))
+    return counted.join(F.broadcast(total)).select("subject", "documents", (F.col("documents") / F.col("all")).alias("share"))
+
+
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_terms, p1_ngrams, p3_found, p4_found, p4_groups, p6_found, p6_survivors, p7_placements, p7_containers, p8_mix, p8_shares)
+    found = (p1_found, p1_terms, p1_ngrams, p3_found, p4_found, p4_groups, p6_found, p6_survivors, p7_placements, p7_containers, p8_mix, p8_shares, p9_found, p9_composition)
     return {f.__name__: f for f in found}
 
 
