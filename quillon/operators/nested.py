@@ -180,6 +180,61 @@ def leaves(reports: DataFrame) -> DataFrame:
     return _table(documents(reports), rows_of).where("leaf <> ''")
 
 
+def _sql_object(x: str) -> str:
+    x = f"({x})"
+    held = f"({x} ->> '$')"
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({held}) AND ltrim({held}) LIKE '{{%' THEN CAST({held} AS JSON) WHEN json_type({x}) = 'NULL' THEN NULL ELSE {x} END"
+
+
+def _sql_list(x: str) -> str:
+    x = f"({x})"
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN CAST({x} AS JSON[]) WHEN 'NULL' THEN [] ELSE CASE WHEN {x} IS NULL THEN [] ELSE [{x}] END END"
+
+
+def _sql_text(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' THEN ({x}) ->> '$' END"
+
+
+def _sql_base() -> str:
+    """Findings, locations, identifiers, packages and package paths as common table expressions."""
+    entries = "SELECT report_id, finding_pos, finding_id, {extra}pos, {value} AS value FROM (SELECT {source}.*, unnest(range(len(list))) AS pos, list FROM {source})"
+    placed = lambda source, extra="": entries.format(source=source, extra=extra, value=_sql_object("list[pos + 1]"))
+    kinds = " UNION ALL ".join(f"SELECT report_id, finding_pos, finding_id, '{k}' AS kind, {_sql_list(f'ids -> {k!r}')} AS list FROM (SELECT *, {_sql_object("f -> 'identifiers'")} AS ids FROM f)" for k in IDENTIFIER_KINDS)
+    return f"""WITH r AS (SELECT DISTINCT ON (report_id) report_id, CAST(raw AS JSON) AS j FROM scan_reports WHERE json_valid(raw)),
+r1 AS (SELECT report_id, unnest(range(len(l))) AS nth, l FROM (SELECT report_id, {_sql_list("j")} AS l FROM r)),
+r2 AS (SELECT report_id, nth, {_sql_object("l[nth + 1]")} AS x FROM r1),
+r3 AS (SELECT report_id, nth, coalesce({_sql_object("x -> 'payload'")}, x) AS x FROM r2),
+r4 AS (SELECT report_id, nth, coalesce({_sql_object("x -> 'result'")}, x) AS x FROM r3),
+r5 AS (SELECT report_id, nth, {_sql_object("x -> 'findings'")} AS fs FROM r4),
+r6 AS (SELECT report_id, nth, CASE json_type(fs) WHEN 'ARRAY' THEN CAST(fs AS JSON[]) WHEN 'OBJECT' THEN CASE WHEN json_type(fs -> 'id') = 'VARCHAR' THEN [fs] ELSE list_transform(list_sort(json_keys(fs)), lambda k: json_extract(fs, '$."' || k || '"')) END ELSE [] END AS l FROM r5),
+r7 AS (SELECT report_id, flatten(list(l ORDER BY nth)) AS l FROM r6 GROUP BY report_id),
+r8 AS (SELECT report_id, unnest(range(len(l))) AS finding_pos, l FROM r7),
+r9 AS (SELECT report_id, finding_pos, {_sql_object("l[finding_pos + 1]")} AS f FROM r8),
+f AS (SELECT report_id, finding_pos, {_sql_text("f -> 'id'")} AS finding_id, f FROM r9 WHERE json_type(f) = 'OBJECT'),
+l0 AS (SELECT report_id, finding_pos, finding_id, {_sql_list("x")} AS list FROM (SELECT *, {_sql_object("f -> 'location'")} AS x FROM f)),
+l1 AS ({placed("l0")}),
+i0 AS ({kinds}),
+i1 AS (SELECT report_id, finding_pos, finding_id, kind, pos, {_sql_text("list[pos + 1]")} AS identifier FROM (SELECT i0.*, unnest(range(len(list))) AS pos FROM i0)),
+p0 AS (SELECT report_id, finding_pos, finding_id, {_sql_list("x")} AS list FROM (SELECT *, {_sql_object("m -> 'packages'")} AS x FROM (SELECT *, {_sql_object("f -> 'metadata'")} AS m FROM f))),
+p1 AS ({placed("p0")}),
+q0 AS (SELECT report_id, finding_pos, finding_id, pos AS package_pos, {_sql_list("x")} AS list FROM (SELECT *, {_sql_object("value -> 'paths'")} AS x FROM p1)),
+q1 AS ({placed("q0", "package_pos, ")})"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the leaves."""
-    return {}
+    """The leaves and the tables below the findings in SQL, for queries named p5_..."""
+    base, path, name = _sql_base(), _sql_text("value -> 'path'"), _sql_text("value -> 'name'")
+    number = "CAST({} AS INTEGER)".format
+    rows = [
+        f"SELECT report_id, finding_id, 'location' AS child, 0 AS parent_pos, {number('pos')} AS child_pos, {path} AS leaf FROM l1",
+        f"SELECT report_id, finding_id, kind, 0, {number('pos')}, identifier FROM i1",
+        f"SELECT report_id, finding_id, 'package', 0, {number('pos')}, {name} FROM p1",
+        f"SELECT report_id, finding_id, 'package_path', {number('package_pos')}, {number('pos')}, {path} FROM q1",
+    ]
+    place = f"report_id, {number('finding_pos')} AS finding_pos, finding_id"
+    return {
+        "p5_found": f"{base} SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE leaf <> ''",
+        "p5_identifiers": f"{base} SELECT {place}, kind, {number('pos')} AS pos, identifier FROM i1",
+        "p5_packages": f"""{base} SELECT {place}, {number('pos')} AS pos, {name} AS name, {_sql_text("value -> 'installedVersion'")} AS installed_version, {_sql_text("value -> 'fixedVersion'")} AS fixed_version FROM p1""",
+        "p5_package_paths": f"{base} SELECT {place}, {number('package_pos')} AS package_pos, {number('pos')} AS pos, {path} AS path FROM q1",
+    }
