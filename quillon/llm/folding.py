@@ -189,7 +189,7 @@ def _pass(rows: DataFrame, texts: list[str], lists: list[str], seed: int, modulu
     first = hashed.join(groups.select(F.col("first_id").alias("id"), "n"), "id").select("h1", "h2", "n", F.col("id").alias("first_id"), *(F.col(c).alias(f"first_{c}") for c in (*texts, *lists)))
     # groups with more than hot_share of the rows in groups: fewer than 1 / hot_share of them, so they can be broadcast
     total = groups.agg(F.sum("n").alias("total"))
-    hot = groups.join(F.broadcast(total)).where(F.col("n") > F.col("total") * hot_share).select("h1", "h2", F.lit(1).alias("hot"))
+    hot = groups.where(F.col("n") > total.scalar() * hot_share).select("h1", "h2", F.lit(1).alias("hot"))
     salt = F.when(F.col("hot") == 1, F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     spread = F.when(F.col("hot") == 1, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     left = hashed.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("salt", salt).drop("hot")

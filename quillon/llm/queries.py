@@ -115,7 +115,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     mix, report = _mixed(spark, folder)
     used = mix.groupBy("source").agg(F.count("*").alias("documents"), F.sum("repeats").alias("uses"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"))
     total = used.agg(F.sum("tokens").alias("all"))
-    joined = report.drop("tokens", "actual_share").join(used, "source", "left").join(F.broadcast(total))
+    joined = report.drop("tokens", "actual_share").join(used, "source", "left").withColumn("all", total.scalar())
     return joined.select("source", "target_share", "wanted_share", "max_repeats", "available", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"))
 
 
@@ -134,7 +134,7 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of each subject, and their share of all documents."""
     total = table(spark, folder, "documents").agg(F.countDistinct("doc_id").alias("all"))
     counted = _assigned(spark, folder).groupBy("subject").agg(F.count("*").alias("documents"))
-    return counted.join(F.broadcast(total)).select("subject", "documents", (F.col("documents") / F.col("all")).alias("share"))
+    return counted.select("subject", "documents", (F.col("documents") / total.scalar()).alias("share"))
 
 
 def queries() -> dict[str, Query]:

@@ -30,8 +30,6 @@ LABELLED, UNLABELLED, SENTENCES = 4_000, 4_000, 24
 WEIGHTS = 1 << 17
 #: The share of sentences that makes a good part, where nothing else is calibrated, and the subjects from which a line is a list.
 PART, LISTED = 0.2, 3
-#: How steeply the weight of a feature falls with the sentences that share it.
-POWER = 2.0
 
 _TAG = re.compile(r"<[^<>]{1,80}>")
 _FENCE = re.compile(r"```.*?(```|\Z)", re.S)
@@ -74,7 +72,7 @@ class Model:
         sizes = np.fromiter((len(r) for r in rows), np.int64, len(rows))
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
         total = np.add.reduceat(self.weights[np.concatenate(rows)], starts, axis=0)
-        return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(total / np.sqrt(sizes)[:, None] + self.bias, -30, 30)))
 
     def hits(self, rows: list[np.ndarray]) -> np.ndarray:
         """Which sentence deals with which subject; one that names several subjects is a list and deals with none."""
@@ -86,22 +84,16 @@ class Model:
         return self.hits(rows).mean(axis=0) if rows else np.zeros(len(self.subjects))
 
 
-def rarity(rows: list[np.ndarray]) -> np.ndarray:
-    """How much a feature can say, from 0 to 1: words that many sentences share, as those of stock phrases, say little."""
-    number = np.bincount(np.concatenate(rows), minlength=WEIGHTS)
-    return (np.clip(np.log(len(rows) / np.maximum(number, 1)) / np.log(max(len(rows), 3)), 0, 1) ** POWER).astype(np.float32)
-
-
-def _fit(rows: list[np.ndarray], wanted: np.ndarray, weight: np.ndarray, pitch: np.ndarray, rounds: int = 60, pull: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted logistic regression for all subjects at once, by full gradients with adaptive steps. ``pitch`` scales the features."""
+def _fit(rows: list[np.ndarray], wanted: np.ndarray, weight: np.ndarray, rounds: int = 60, pull: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted logistic regression for all subjects at once, by full gradients with adaptive steps."""
     sizes = np.fromiter((len(r) for r in rows), np.int64, len(rows))
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     used, at = np.unique(np.concatenate(rows), return_inverse=True)
     owner = np.repeat(np.arange(len(rows)), sizes)
     order = np.argsort(at, kind="stable")
     firsts = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
-    pitch_at = pitch[used][at]
-    owner_by_feature, pitch_by_feature = owner[order], pitch_at[order]
+    scale = (1 / np.sqrt(sizes)).astype(np.float32)
+    owner_by_feature = owner[order]
     w = np.zeros((wanted.shape[1], len(used)), np.float32)
     b = np.full(wanted.shape[1], -2.0, np.float32)
     weight = weight.astype(np.float32)
@@ -110,16 +102,16 @@ def _fit(rows: list[np.ndarray], wanted: np.ndarray, weight: np.ndarray, pitch:
         seen, seen_b = np.full(len(used), 1e-8, np.float32), 1e-8
         target = wanted[:, j].astype(np.float32)
         for _ in range(rounds):
-            z = np.add.reduceat(w[j][at] * pitch_at, starts) + b[j]
+            z = np.add.reduceat(w[j][at], starts) * scale + b[j]
             slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight
-            g = np.add.reduceat(slope[owner_by_feature] * pitch_by_feature, firsts) + shrink * w[j]
+            g = np.add.reduceat((slope * scale)[owner_by_feature], firsts) + shrink * w[j]
             gb = slope.sum()
             seen += g * g
             seen_b += gb * gb
             w[j] -= 0.5 * g / np.sqrt(seen)
             b[j] -= 0.3 * gb / np.sqrt(seen_b)
     full = np.zeros((WEIGHTS, wanted.shape[1]), np.float32)
-    full[used] = (w * pitch[used]).T
+    full[used] = w.T
     return full, b
 
 
@@ -155,9 +147,8 @@ def train(labelled: list[tuple[str, set[str]]], unlabelled: list[str], subjects:
     fit_on = [(_thinned(s), y / max(1, y.sum())) for s, y in told if s]
     seeds = [([_WORD.findall(text.lower())], vector({s})) for s, text in words_of.items() if s in number]
     other = [_thinned(s) for s in map(sentences, unlabelled) if s]
-    pitch = rarity([features(w) for s in [*(s for s, _ in fit_on), *other] for w in s] or [np.zeros(1, np.int64)])
     rows, y, n = _collapsed(fit_on + seeds)
-    model = Model(subjects, *_fit(rows, y, n, pitch))
+    model = Model(subjects, *_fit(rows, y, n))
     for _ in range(3):
         # sentences of labelled documents: their label if the model agrees or knows no better; others: none
         refined = []
@@ -180,7 +171,7 @@ def train(labelled: list[tuple[str, set[str]]], unlabelled: list[str], subjects:
             elif not strong.any():
                 refined.append((s[:4], np.zeros(k)))
         rows, y, n = _collapsed([r for r in refined if r[0]] + seeds)
-        model = Model(subjects, *_fit(rows, y, n, pitch))
+        model = Model(subjects, *_fit(rows, y, n))
     return calibrated(model, [([features(w) for w in s], y) for s, y in told if s])
 
 
@@ -203,7 +194,7 @@ def calibrated(model: Model, told: list[tuple[list[np.ndarray], np.ndarray]]) ->
         model.level = level
         share = np.array([model.shares(rows) for rows, _ in told])
         for part in grid:
-            value = f1(share >= part - 1e-9, truth) - 0.02 * abs(part - PART)
+            value = f1(share >= part - 1e-9, truth) - 0.2 * abs(part - PART)
             if value > best[0] + 1e-6:
                 best = (value, level, part, share)
     _, model.level, common, share = best
@@ -212,7 +203,7 @@ def calibrated(model: Model, told: list[tuple[list[np.ndarray], np.ndarray]]) ->
         if truth[:, j].sum() < 200:
             continue
         base = f1(share[:, j] >= common - 1e-9, truth[:, j])
-        value, part = max((f1(share[:, j] >= p - 1e-9, truth[:, j]) - 0.02 * abs(p - common), p) for p in grid)
+        value, part = max((f1(share[:, j] >= p - 1e-9, truth[:, j]) - 0.2 * abs(p - common), p) for p in grid)
         if value > base + 0.005:
             model.part[j] = part
     return model
