@@ -2,15 +2,13 @@
 
 Text is compared by words: letters and digits in lower case, so formatting doesn't matter. Sentences are compared in any
 order. Two records say the same if their titles are within ``TITLE`` and their descriptions within ``BODY`` of each other
-(word edits by the longer one's words), the descriptions share ``SHARED`` of their words, and one anchor sentence of theirs
-is within one word edit.
+(word edits by the longer one's words) and the descriptions share ``SHARED`` of their words.
 
-Candidates come from a segment index for edit distance one: a sentence of L words is cut into three segments at fixed
-places; with one edit at least two segments survive, and each pair of them has a known place in a sentence of L - 1, L or
-L + 1 words. The index stores the three pairs under (repository, L, pair, hash); a probe selects nine substrings. Sentences
-are indexed once per repository however many records hold them. A sentence that more than ``COMMON`` texts hold, counting
-those within one edit, is no anchor as long as a third of the description's words are left in rarer ones; stock sentences
-therefore make no candidates.
+Candidates come from an index of parts of titles that misses no pair: of a title of n words all but ``TITLE`` n are in the
+other title too. With the words of every title in one fixed order, two such titles have three words in common among their
+first ``TITLE`` n + 3, so each three of these are a key (repository, hash); titles above ``LONG`` words, where that would be
+many keys, have single words instead. Candidates whose descriptions can't share enough words are dropped by their lengths
+and by parities of word counts, which bound the words not shared from below. No key is left out, however many texts hold it.
 
 Texts that differ in formatting or sentence order only are one text from the start, so copies never multiply pairs.
 """
@@ -34,11 +32,8 @@ TITLE, BODY = 0.4, 0.4
 #: Words in common, by all words of either description, below which they differ, and from which they say the same even
 #: where a lost full stop hides the sentences.
 SHARED, SURELY = 0.6, 0.75
-#: Texts that hold a sentence above which it is common; words of the shortest sentence that can be found after an edit.
-COMMON, SHORTEST = 8, 4
-#: Sentences of a repository that share two segments above which the two are stock wording ("package ... is out of date")
-#: and lead nowhere; equal sentences and other segments still do.
-STOCK = 256
+#: Words of the longest title whose keys are three words each. From TITLE of them on, titles have keys of one word too.
+LONG = 20
 
 
 def words(text: Column) -> Column:
@@ -51,13 +46,8 @@ def sentences(text: Column) -> Column:
     return F.array_sort(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|[\r\n]+"), words), lambda s: s != ""))
 
 
-def lines(text: Column) -> Column:
-    """``sentences``, and the parts of those that lost a full stop before a capital."""
-    return F.array_distinct(F.concat(sentences(text), sentences(F.regexp_replace(text, r"(?<=\p{Ll}) (?=\p{Lu}\p{Ll}*\s)", "\n"))))
-
-
 def records(scans: DataFrame, findings: DataFrame) -> DataFrame:
-    """rec_id, repo, at, print, title, body, lines of each record that has a batch with repository and time.
+    """rec_id, repo, at, print, title, body of each record that has a batch with repository and time.
 
     ``scans`` gives the batches (feed 'batch'), ``findings`` has rec_id, scan_id, fingerprint, title, description. Rows
     delivered twice under one rec_id or scan_id count once. Fingerprints count trimmed and in lower case; empty ones are
@@ -67,62 +57,51 @@ def records(scans: DataFrame, findings: DataFrame) -> DataFrame:
     rows = once(findings.select("rec_id", "scan_id", "fingerprint", "title", "description"), "rec_id")
     mark = F.lower(F.trim("fingerprint"))
     return rows.join(batches.where("at is not null and repository is not null"), "scan_id").select(
-        "rec_id", F.xxhash64("repository").alias("repo"), "at", F.when(mark != "", mark).alias("print"), words(F.col("title")).alias("title"), sentences(F.col("description")).alias("body"), lines(F.col("description")).alias("lines")
+        "rec_id", F.xxhash64("repository").alias("repo"), "at", F.when(mark != "", mark).alias("print"), words(F.col("title")).alias("title"), sentences(F.col("description")).alias("body")
     )
 
 
-def _cuts(n: Column) -> tuple[Column, Column]:
-    """Words in the first segment, and in the first two, of a sentence of n words."""
-    return F.floor(n / 3).cast("int"), F.floor(n * 2 / 3).cast("int")
+def _ordered(title: Column) -> Column:
+    """The words of a title in one order for all titles: long ones first, as they tend to be rare. A word's second
+    occurrence is another word."""
+    w = F.split(title, " ")
+    return F.array_sort(F.transform(w, lambda x, i: F.struct((-F.length(x)).alias("l"), x.alias("x"), F.size(F.filter(F.slice(w, F.lit(1), i + 1), lambda y: y == x)).alias("k"))))
 
 
-def _pair_keys(w: Column, indexed: Column) -> list[Column]:
-    """The three pairs of segments that a sentence of ``indexed`` words would share with the words ``w``, each as a hash
-    with its repository, length and place.
+def _keys(order: Column) -> Column:
+    """The keys of a title by its words as ``_ordered``; two titles within ``TITLE`` of each other have one in common.
 
-    The first two segments stand at the start, the last two at the end, the outer two at either.
+    Of n and m >= n words they share m - TITLE m at least: all of three words or less have single words, n is 3 or more
+    where m is 4 or more, and above the share of ``LONG`` where m is above ``LONG``.
     """
-    one, two = _cuts(indexed)
-    head = lambda n: F.array_join(F.slice(w, F.lit(1), n), " ")
-    tail = lambda n: F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n), " ")
-    texts = (head(two), tail(indexed - one), F.concat_ws("\x01", head(one), tail(indexed - two)))
-    return [F.xxhash64(F.col("repo"), F.lit(i), indexed, t) for i, t in enumerate(texts)]
-
-
-def index_segments(sents: DataFrame) -> DataFrame:
-    """The index entries of sentences (repo, sid, w): repo, segment, sid. Sentences below SHORTEST words have none."""
-    n = F.size("w")
-    return sents.where(n >= SHORTEST).select("repo", F.explode(F.array(*_pair_keys(F.col("w"), n))).alias("segment"), "sid")
+    n = F.size(order)
+    most = F.floor(F.lit(TITLE) * n).cast("int")
+    place = lambda first: F.when(first <= F.least(n, most + 3), F.sequence(first, F.least(n, most + 3))).otherwise(F.array().cast("array<int>"))
+    at = lambda i: F.get(order, i - 1)
+    threes = F.flatten(F.flatten(F.transform(place(F.lit(1)), lambda i: F.transform(place(i + 1), lambda j: F.transform(place(j + 1), lambda k: F.xxhash64(at(i), at(j), at(k)))))))
+    ones = F.transform(F.slice(order, F.lit(1), most + 1), lambda x: F.xxhash64(x))
+    none = F.array().cast("array<bigint>")
+    return F.concat(F.when((n >= 3) & (n <= LONG), threes).otherwise(none), F.when((n <= 3) | (n > int((1 - TITLE) * LONG)), ones).otherwise(none))
 
 
-def probe_segments(sents: DataFrame) -> DataFrame:
-    """The substrings under which sentences within one edit are indexed: segment, sid."""
-    n = F.size("w")
-    keys = F.flatten(F.array(*(F.when(n + d >= SHORTEST, F.array(*_pair_keys(F.col("w"), n + d))).otherwise(F.array().cast("array<bigint>")) for d in (-1, 0, 1))))
-    return sents.where(n >= SHORTEST - 1).select(F.explode(keys).alias("segment"), "sid")
-
-
-def within_one(a: Column, b: Column) -> Column:
-    """Whether two word lists are at most one word edit apart."""
-    size_a, size_b = F.size(a), F.size(b)
-    common = F.least(size_a, size_b)
-    run = lambda x, y: F.coalesce(F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False), F.lit(0)) - 1, F.greatest(F.size(x), F.size(y)).cast("long"))
-    ahead, behind = run(a, b), run(F.reverse(a), F.reverse(b))
-    return (F.abs(size_a - size_b) <= 1) & (ahead + behind >= F.greatest(size_a, size_b) - 1)
+def index_segments(texts: DataFrame) -> DataFrame:
+    """The index entries of texts (repo, text, title, body): repo, segment, text; n, even and odd to compare descriptions.
 
+    n is the number of words, even and odd are 128 parities of the numbers of words by hash.
+    """
+    hashes = F.flatten(F.transform("body", lambda s: F.transform(F.split(s, " "), lambda w: F.xxhash64(w))))
+    parity = lambda half: F.aggregate(F.filter("h", lambda h: h % 2 == 0 if half == 0 else h % 2 != 0), F.lit(0).cast("long"), lambda seen, h: seen.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 1), F.lit(64)).cast("int"))))
+    counted = texts.select("repo", "text", _ordered(F.col("title")).alias("order"), hashes.alias("h")).select("repo", "text", "order", F.size("h").alias("n"), parity(0).alias("even"), parity(1).alias("odd"))
+    return counted.select("repo", F.explode(_keys(F.col("order"))).alias("segment"), "text", "n", "even", "odd")
 
-def neighbours(index: DataFrame, probing: DataFrame, known: DataFrame) -> DataFrame:
-    """sid, near: probing sentences and indexed ones within one word edit, in the same repository. Not the same one.
 
-    Only hashes and ids go through the lookup; ``known`` (repo, sid, w) gives the words of the candidates' indexed side.
-    """
-    stock = index.groupBy("segment").agg(F.count("*").alias("n")).where(F.col("n") > STOCK).select("segment")
-    right = index.select("segment", F.col("sid").alias("near")).join(stock, "segment", "left_anti")
-    found = probe_segments(probing).join(right, "segment").where("sid <> near").select("sid", "near").distinct()
-    mine = probing.select("sid", "repo", F.col("w").alias("v"))
-    other = known.select(F.col("sid").alias("near"), F.col("repo").alias("there"), "w")
-    told = found.join(mine, "sid").join(other, "near").where("repo = there")
-    return told.where(within_one(F.col("v"), F.col("w"))).select("sid", "near")
+def candidates(probing: DataFrame, index: DataFrame) -> DataFrame:
+    """text_a, text_b: texts of ``probing`` and of ``index`` (both as ``index_segments`` gives them) that share a key and
+    whose descriptions may share ``SHARED`` of their words."""
+    a, b = (df.select("repo", "segment", F.col("text").alias(f"text_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "even", "odd"))) for df, x in ((probing, "a"), (index, "b")))
+    apart = F.bit_count(F.col("even_a").bitwiseXOR(F.col("even_b"))) + F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b")))
+    close = (apart <= (F.col("n_a") + F.col("n_b")) * ((1 - SHARED) / (1 + SHARED)) + 1e-6) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * SHARED - 1e-6)
+    return a.join(b, ["repo", "segment"]).where(close & (F.col("text_a") != F.col("text_b"))).select("text_a", "text_b")
 
 
 def edit_distance(a: list[str], b: list[str], most: int) -> int:
@@ -192,43 +171,10 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[keep, ["text_a", "text_b"]]
 
 
-def anchors(held: DataFrame, near: DataFrame, number: DataFrame) -> DataFrame:
-    """The sentences (text, sid) by which a text looks for others. ``held``: text, sid, w; ``number``: sid, n (texts that hold it)."""
-    around = near.join(number.withColumnRenamed("sid", "near"), "near").groupBy("sid").agg(F.sum("n").alias("m"))
-    own = held.select("sid").distinct().join(number, "sid", "left").join(around, "sid", "left")
-    spread = own.select("sid", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("spread"))
-    size = F.size("w")
-    text = Window.partitionBy("text")
-    rarer = text.orderBy("spread", "sid").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        held.join(spread, "sid")
-        .withColumn("before", F.coalesce(F.sum(size).over(rarer), F.lit(0)))
-        .withColumn("all", F.sum(size).over(text))
-        .where((F.col("spread") <= COMMON) | (F.col("before") * 3 < F.col("all")))
-        .select("text", "sid")
-    )
-
-
-def _held(texts: DataFrame) -> DataFrame:
-    """repo, text, sid, w: the sentences of each text; a text without description has its title instead."""
-    found = F.when(F.size("lines") > 0, F.col("lines")).otherwise(F.array("title"))
-    return texts.select("repo", "text", F.explode(found).alias("s")).select("repo", "text", F.xxhash64("repo", "s").alias("sid"), F.split("s", " ").alias("w"))
-
-
 def links(texts: DataFrame) -> DataFrame:
-    """Pairs text_a < text_b of texts of one repository that say the same. ``texts``: repo, text (id), title, body, lines."""
-    held = staged(_held(texts))
-    unique = held.groupBy("repo", "sid").agg(F.first("w").alias("w"))
-    near = staged(neighbours(index_segments(unique), unique, unique))
-    chosen = anchors(held, near, held.groupBy("sid").agg(F.count("*").alias("n")))
-    other = held.select("sid", F.col("text").alias("other"))
-    pair = _reach(chosen, near).join(other, "sid").where("text <> other").select(F.least("text", "other").alias("text_a"), F.greatest("text", "other").alias("text_b")).distinct()
-    return _told(pair, texts, texts)
-
-
-def _reach(chosen: DataFrame, near: DataFrame) -> DataFrame:
-    """The sentences (text, sid) that a text's anchors lead to: themselves and those within one edit."""
-    return chosen.join(near, "sid").select("text", F.col("near").alias("sid")).unionByName(chosen)
+    """Pairs text_a < text_b of texts of one repository that say the same. ``texts``: repo, text (id), title, body."""
+    index = staged(index_segments(texts))
+    return _told(candidates(index, index).where("text_a < text_b").distinct(), texts, texts)
 
 
 def _told(pair: DataFrame, texts_a: DataFrame, texts_b: DataFrame) -> DataFrame:
@@ -262,7 +208,7 @@ def repeats(scans: DataFrame, findings: DataFrame) -> DataFrame:
     rows = records(scans, findings)
     keyed = staged(rows.withColumns({"k1": F.xxhash64("title", "body"), "k2": F.xxhash64(F.lit(1), "body", "title")}))
     texts = staged(keyed.groupBy("repo", "k1", "k2").agg(F.min("rec_id").alias("text"), F.count("*").alias("n")))
-    of_text = keyed.select(F.col("rec_id").alias("text"), "repo", "title", "body", "lines").join(texts.select("text"), "text")
+    of_text = keyed.select(F.col("rec_id").alias("text"), "repo", "title", "body").join(texts.select("text"), "text")
     found = staged(links(of_text))
     both = found.select(F.col("text_a").alias("text"), F.col("text_b").alias("other")).unionByName(found.select(F.col("text_b").alias("text"), F.col("text_a").alias("other")))
 
@@ -292,7 +238,7 @@ def repeats(scans: DataFrame, findings: DataFrame) -> DataFrame:
 class SegmentIndex:
     """Everything accepted so far, as tables in a folder, to check one batch after another without reading all again.
 
-    ``records`` holds the accepted records, ``sentences`` who holds which sentence, ``segments`` the index. All are
+    ``records`` holds the accepted records, ``segments`` the index of their titles. Both are
     partitioned by a bucket of the repository, so a batch reads the buckets of its repositories only. Batches have to be
     added in the order of their time; those of one time together.
     """
@@ -321,21 +267,13 @@ class SegmentIndex:
         """Check records (as ``records`` gives them) against the index and add those that repeat nothing: id_a < id_b."""
         batch = staged(batch.withColumn("text", F.col("rec_id")))
         buckets = [r.bucket for r in self._bucketed(batch).select("bucket").distinct().collect()]  # at most BUCKETS
-        held = staged(_held(batch))
-        unique = held.groupBy("repo", "sid").agg(F.first("w").alias("w"))
-        entries = index_segments(unique)
-        past, said, index = self._table("records", batch, buckets), self._table("sentences", held, buckets), self._table("segments", entries, buckets)
-        near = staged(neighbours(index.distinct(), unique, said.groupBy("repo", "sid").agg(F.first("w").alias("w"))))
-        asked = near.select(F.col("near").alias("sid")).unionByName(unique.select("sid")).distinct()
-        number = said.join(asked, "sid", "left_semi").groupBy("sid").agg(F.count("*").alias("n"))
-        reach = _reach(anchors(held, near, number), near)
-        pair = reach.join(said.select("sid", F.col("text").alias("other")), "sid").select(F.col("text").alias("text_a"), F.col("other").alias("text_b")).distinct()
+        entries = staged(index_segments(batch))
+        past, index = self._table("records", batch, buckets), self._table("segments", entries, buckets)
+        pair = candidates(entries, index).distinct()
         by_text = _told(pair, batch, past).select(F.col("text_a").alias("rec_id"), F.col("text_b").alias("old"))
         by_print = batch.where("print is not null").join(past.select("repo", "print", F.col("rec_id").alias("old")), ["repo", "print"]).select("rec_id", "old")
         found = staged(by_text.unionByName(by_print).distinct())
         fresh = staged(batch.join(found.select("rec_id"), "rec_id", "left_anti"))
-        kept = held.join(fresh.select("text"), "text", "left_semi").select(*held.columns)
         self._append(fresh, "records")
-        self._append(kept, "sentences")
-        self._append(index_segments(kept.groupBy("repo", "sid").agg(F.first("w").alias("w"))), "segments")
+        self._append(entries.join(fresh.select("text"), "text", "left_semi").select(*entries.columns), "segments")
         return found.select(F.least("rec_id", "old").alias("id_a"), F.greatest("rec_id", "old").alias("id_b"))

@@ -124,6 +124,13 @@ def test_random_corpus_and_index(spark, tmp_path):
     assert {max(p, key=lambda x: next(r[1] for r in rows if r[0] == x)) for p in found} == later & early
 
 
+def test_reworded_copies_of_one_record(spark):
+    # the sentences that all share are common, the rare ones are reworded in three words each
+    same = ["the eager registry duplicates a forked plugin under load while one branch sleeps", "an attacker with a legacy scheduler sees how one cursor trusts sealed namespace values"]
+    rows = [row(i, i, TITLE, ". ".join(s.capitalize() for s in [*same, f"when a router{i} arrives silently this partial credential{i} forwards every stale column{i} twice and late"])) for i in range(50)]
+    assert run(spark, [scan(i) for i in range(50)], rows) == [(0, i) for i in range(1, 50)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=7), st.lists(st.sampled_from("abc"), max_size=7), st.integers(0, 8))
 def test_edit_distance(a, b, most):
