@@ -131,6 +131,12 @@ def test_reworded_copies_of_one_record(spark):
     assert run(spark, [scan(i) for i in range(50)], rows) == [(0, i) for i in range(1, 50)]
 
 
+def test_many_variants_of_one_sentence(spark):
+    # 300 titles without description, another word in the last third of each
+    rows = [row(i, min(i, 1), f"Image holds the outdated package lib{i}", None) for i in range(300)]
+    assert run(spark, [scan(0), scan(1)], rows) == [(0, i) for i in range(1, 300)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=7), st.lists(st.sampled_from("abc"), max_size=7), st.integers(0, 8))
 def test_edit_distance(a, b, most):
