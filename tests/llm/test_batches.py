@@ -137,6 +137,30 @@ def test_many_variants_of_one_sentence(spark):
     assert run(spark, [scan(0), scan(1)], rows) == [(0, i) for i in range(1, 300)]
 
 
+def test_reworded_where_no_sentence_survives(spark):
+    body = "The eager registry duplicates a forked plugin under load while one branch sleeps at night"
+    rows = [row(1, 1, TITLE, body), row(2, 2, TITLE, body.replace("eager", "idle").replace("branch", "mutex")), row(3, 3, "Stale lock held by zuge worker", None), row(4, 4, "Stale key held by mohu worker", "")]
+    assert run(spark, [scan(i) for i in range(1, 5)], rows) == [(1, 2), (3, 4)]
+
+
+def test_candidates_miss_no_pair(spark):
+    rng = random.Random(5)
+    titles = []
+    for _ in range(120):
+        t = [rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 34))]
+        titles.append(" ".join(t))
+        for _ in range(2):
+            for _ in range(rng.randrange(0, 2 + int(0.4 * len(t)))):
+                t.insert(rng.randrange(len(t) + 1), "x") if rng.random() < 0.3 or not t else t.pop(rng.randrange(len(t))) if rng.random() < 0.5 else t.__setitem__(rng.randrange(len(t)), "y")
+            titles.append(" ".join(t))
+    words = "one body of several words that is nearly the same each time".split()
+    bodies = [" ".join(words[i % 4 :]) for i in range(len(titles))]
+    want = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if batches.say_the_same(titles[i], [bodies[i]], titles[j], [bodies[j]])}
+    index = batches.index_segments(spark.createDataFrame([(1, i, t, [b]) for i, (t, b) in enumerate(zip(titles, bodies, strict=True))], "repo long, text long, title string, body array<string>"))
+    assert len(want) > 100
+    assert want <= {(r.text_a, r.text_b) for r in batches.candidates(index, index).collect()}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=7), st.lists(st.sampled_from("abc"), max_size=7), st.integers(0, 8))
 def test_edit_distance(a, b, most):
