@@ -49,13 +49,19 @@ def subset_sum(counts: dict[int, int], budget: int) -> dict[int, int]:
 
 
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """``subset_sum`` for any budget: first the same fraction of every length, then single documents, longest first, until the rest is within the window."""
+    """``subset_sum`` for any budget: first the same fraction of the documents, rounded over neighbouring lengths, then single ones until the rest is within the window.
+
+    Rounded down from the longest on, the first part never passes its share and stays below it by less than one document.
+    """
     available = sum(n * k for n, k in counts.items())
     budget = max(0, min(budget, available))
     taken = {n: 0 for n in counts}
     if budget > WINDOW and available:
-        share = (budget - WINDOW) / available
-        taken = {n: int(k * share) for n, k in counts.items()}
+        seen = 0
+        for n in sorted(counts, reverse=True):
+            before = seen * (budget - WINDOW) // available
+            seen += counts[n]
+            taken[n] = seen * (budget - WINDOW) // available - before
     rest = budget - sum(n * k for n, k in taken.items())
     for n in sorted(counts, reverse=True):
         if rest <= WINDOW:

@@ -57,3 +57,13 @@ def test_empty(spark):
     mix, report = mixing.mixed(spark.createDataFrame([], DOCS), targets)
     assert mix.count() == 0 and report.first().tokens == 0
     assert mixing.mixed(spark.createDataFrame([(1, "a", 5, "")], DOCS), targets.limit(0))[0].count() == 0
+
+
+def test_above_the_window_in_proportion():
+    # 2,000 documents, each of a length of its own: of the long half as many as of the short one
+    counts = {1000 + i: 1 for i in range(2000)}
+    budget = sum(counts) // 2
+    taken = mixing.fit(counts, budget)
+    assert sum(n * k for n, k in taken.items()) == budget
+    long = sum(k for n, k in taken.items() if n >= 2000)
+    assert 450 < long < 550 and 450 < sum(taken.values()) - long < 550
