@@ -32,7 +32,7 @@ WEIGHTS = 1 << 17
 PART, LISTED = 0.2, 3
 
 _TAG = re.compile(r"<[^<>]{1,80}>")
-_FENCE = re.compile(r"```.*?(```|\Z)", re.S)
+_FENCE = re.compile(r"```.*?```", re.S)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SPLIT = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 _NOISE = re.compile(r"\S{60,}")

@@ -57,3 +57,10 @@ def test_sample(spark):
 def test_without_labels():
     model = subjects.train([], [], ["sport", "law"], {"sport": "goals and strikers", "law": "courts and contracts"})
     assert model.shares([]).tolist() == [0, 0]
+
+
+def test_unclosed_fence_is_a_line():
+    closed = "Before the log stands this.\n```\nsome log line here\n```\nBehind the log stands this."
+    assert len(subjects.sentences(closed)) == 2
+    assert len(subjects.sentences("```\nThe whole text follows. It is judged to its end.")) == 2
+    assert len(subjects.sentences(closed + "\n```\nAnd this is left.")) == 3
