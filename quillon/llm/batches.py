@@ -1,39 +1,47 @@
 """Records of new batches that repeat, fully or nearly, something accepted before.
 
-Text is compared by words: letters and digits in lower case, so formatting doesn't matter. Sentences are compared in any
-order. Two records say the same if their titles are within ``TITLE`` and their descriptions within ``BODY`` of each other
-(word edits by the longer one's words) and the descriptions share ``SHARED`` of their words.
-
-Candidates come from an index of parts of titles that misses no pair: of a title of n words all but ``TITLE`` n are in the
-other title too. With the words of every title in one fixed order, two such titles have three words in common among their
-first ``TITLE`` n + 3, so each three of these are a key (repository, hash); titles above ``LONG`` words, where that would be
-many keys, have single words instead. Candidates whose descriptions can't share enough words are dropped by their lengths
-and by parities of word counts, which bound the words not shared from below. No key is left out, however many texts hold it.
-
-Texts that differ in formatting or sentence order only are one text from the start, so copies never multiply pairs.
+Text is compared by words: letters and digits in lower case, so formatting doesn't matter. Two records say the same if
+their titles are within ``title_edits`` word edits of each other, their descriptions share ``SHARED`` of their words, and
+an edit script of ``BODY`` edits by the longer one's words leads from one description to the other, sentences in any order.
+
+Candidates come from a segment index over titles. A title of n words is cut into title_edits(n) + 1 segments of even length;
+one of them is unchanged in every shorter or equally long title within the distance, moved by as many words as were
+inserted or deleted beside it. So a title stores its segments under (repository, n, number of the segment, words), and
+under the same keys, for each length m it may be compared with, those of its substrings that a segment can have moved to.
+Candidates whose descriptions can't share enough words are dropped inside the join, by their lengths and by parities of
+word counts, which bound the words not shared from below. No key is left out, however many texts hold it.
+
+Texts that differ in formatting or sentence order only are one text from the start, so copies never multiply pairs. Nor do
+the variants of one wording: the earliest of each group of texts alike is compared first, and what repeats it is out of
+the search before all pairs of the rest are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.dedupe import once
 from quillon.operators.snapshots import repository_key
-from quillon.session import staged
+from quillon.session import shared_folder, staged
+
+#: Word edits between titles: this share of the longer one's words, and this many at most.
+TITLE_SHARE, TITLE_MOST = 3, 4
+#: Word edits between descriptions by words of the longer one, and words in common by all words of either.
+BODY, SHARED = 0.4, 0.6
+
+PAIR = "text_a long, text_b long"
+
 
-#: Word edits by words of the longer text up to which titles and descriptions say the same.
-TITLE, BODY = 0.4, 0.4
-#: Words in common, by all words of either description, below which they differ, and from which they say the same even
-#: where a lost full stop hides the sentences.
-SHARED, SURELY = 0.6, 0.75
-#: Words of the longest title whose keys are three words each. From TITLE of them on, titles have keys of one word too.
-LONG = 20
+def title_edits(n: int) -> int:
+    """Word edits up to which titles say the same; n is the number of words of the longer one."""
+    return min(n // TITLE_SHARE, TITLE_MOST)
 
 
 def words(text: Column) -> Column:
@@ -61,47 +69,72 @@ def records(scans: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def _ordered(title: Column) -> Column:
-    """The words of a title in one order for all titles: long ones first, as they tend to be rare. A word's second
-    occurrence is another word."""
-    w = F.split(title, " ")
-    return F.array_sort(F.transform(w, lambda x, i: F.struct((-F.length(x)).alias("l"), x.alias("x"), F.size(F.filter(F.slice(w, F.lit(1), i + 1), lambda y: y == x)).alias("k"))))
+# index --------------------------------------------------------------------------------------------------------------
 
 
-def _keys(order: Column) -> Column:
-    """The keys of a title by its words as ``_ordered``; two titles within ``TITLE`` of each other have one in common.
+def _edits(n: Column) -> Column:
+    return F.least(F.floor(n / TITLE_SHARE), F.lit(TITLE_MOST)).cast("int")
 
-    Of n and m >= n words they share m - TITLE m at least: all of three words or less have single words, n is 3 or more
-    where m is 4 or more, and above the share of ``LONG`` where m is above ``LONG``.
-    """
-    n = F.size(order)
-    most = F.floor(F.lit(TITLE) * n).cast("int")
-    place = lambda first: F.when(first <= F.least(n, most + 3), F.sequence(first, F.least(n, most + 3))).otherwise(F.array().cast("array<int>"))
-    at = lambda i: F.get(order, i - 1)
-    threes = F.flatten(F.flatten(F.transform(place(F.lit(1)), lambda i: F.transform(place(i + 1), lambda j: F.transform(place(j + 1), lambda k: F.xxhash64(at(i), at(j), at(k)))))))
-    ones = F.transform(F.slice(order, F.lit(1), most + 1), lambda x: F.xxhash64(x))
-    none = F.array().cast("array<bigint>")
-    return F.concat(F.when((n >= 3) & (n <= LONG), threes).otherwise(none), F.when((n <= 3) | (n > int((1 - TITLE) * LONG)), ones).otherwise(none))
+
+def _span(first: Column, last: Column) -> Column:
+    """first, ..., last; empty if there are none."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
-def index_segments(texts: DataFrame) -> DataFrame:
-    """The index entries of texts (repo, text, title, body): repo, segment, text; n, even and odd to compare descriptions.
+def _keys_for(w: Column, s: Column, m: Column, own: bool) -> Column:
+    """Keys of a title of the words ``w`` (``s`` of them) among the segments of titles of m >= s words.
 
-    n is the number of words, even and odd are 128 parities of the numbers of words by hash.
+    ``own``: m is s and the keys are those of the title's own segments. Otherwise, for each segment, those of the
+    substrings where it can be found: it moves by no more than the segments before it were edited, nor can those behind
+    it be edited more often than is left.
     """
+    most = _edits(m)
+    parts = most + 1
+    short = F.floor(m / parts).cast("int")
+    longer = m - short * parts  # as many of the last segments have a word more
+
+    def of(i: Column) -> Column:  # from 0
+        size = short + (i >= parts - longer).cast("int")
+        place = i * short + F.greatest(F.lit(0), i - (parts - longer))  # from 0
+        moved = s - m
+        low = place if own else F.greatest(F.lit(0), place - i, place + moved - (most - i))
+        high = place if own else F.least(s - size, place + i, place + moved + (most - i))
+        return F.transform(_span(low, high), lambda at: F.xxhash64("repo", m, i, F.concat_ws(" ", F.slice(w, at + 1, size))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), most), of))
+
+
+def _entries(texts: DataFrame, keys: Column) -> DataFrame:
+    """repo, text, n, even, odd of each text under each of its keys: n is the number of words of the description, even and
+    odd are 128 parities of the numbers of its words by hash."""
     hashes = F.flatten(F.transform("body", lambda s: F.transform(F.split(s, " "), lambda w: F.xxhash64(w))))
     parity = lambda half: F.aggregate(F.filter("h", lambda h: h % 2 == 0 if half == 0 else h % 2 != 0), F.lit(0).cast("long"), lambda seen, h: seen.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 1), F.lit(64)).cast("int"))))
-    counted = texts.select("repo", "text", _ordered(F.col("title")).alias("order"), hashes.alias("h")).select("repo", "text", "order", F.size("h").alias("n"), parity(0).alias("even"), parity(1).alias("odd"))
-    return counted.select("repo", F.explode(_keys(F.col("order"))).alias("segment"), "text", "n", "even", "odd")
+    w = F.when(F.col("title") == "", F.array().cast("array<string>")).otherwise(F.split("title", " "))
+    read = texts.select("repo", "text", w.alias("w"), hashes.alias("h")).select("repo", "text", "w", F.size("w").alias("s"), F.size("h").alias("n"), parity(0).alias("even"), parity(1).alias("odd"))
+    return read.select("repo", "text", "n", "even", "odd", F.explode(F.array_distinct(keys)).alias("key"))
+
+
+def segments(texts: DataFrame) -> DataFrame:
+    """The stored segments of texts (repo, text, title, body)."""
+    return _entries(texts, _keys_for(F.col("w"), F.col("s"), F.col("s"), own=True))
+
+
+def substrings(texts: DataFrame) -> DataFrame:
+    """The substrings of texts that can be segments of a title as long or longer."""
+    longest = F.array_max(F.filter(_span(F.col("s"), F.col("s") + TITLE_MOST), lambda m: m - F.col("s") <= _edits(m)))
+    return _entries(texts, F.flatten(F.transform(_span(F.col("s"), longest), lambda m: _keys_for(F.col("w"), F.col("s"), m, own=False))))
 
 
-def candidates(probing: DataFrame, index: DataFrame) -> DataFrame:
-    """text_a, text_b: texts of ``probing`` and of ``index`` (both as ``index_segments`` gives them) that share a key and
-    whose descriptions may share ``SHARED`` of their words."""
-    a, b = (df.select("repo", "segment", F.col("text").alias(f"text_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "even", "odd"))) for df, x in ((probing, "a"), (index, "b")))
+def candidates(held: DataFrame, probing: DataFrame) -> DataFrame:
+    """text_a, text_b: texts of ``held`` (segments) and of ``probing`` (substrings, or the other way round) that share a key
+    and whose descriptions may share ``SHARED`` of their words."""
+    a, b = (df.select("repo", "key", F.col("text").alias(f"text_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "even", "odd"))) for df, x in ((held, "a"), (probing, "b")))
     apart = F.bit_count(F.col("even_a").bitwiseXOR(F.col("even_b"))) + F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b")))
     close = (apart <= (F.col("n_a") + F.col("n_b")) * ((1 - SHARED) / (1 + SHARED)) + 1e-6) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * SHARED - 1e-6)
-    return a.join(b, ["repo", "segment"]).where(close & (F.col("text_a") != F.col("text_b"))).select("text_a", "text_b")
+    return a.join(b, ["repo", "key"]).where(close & (F.col("text_a") != F.col("text_b"))).select("text_a", "text_b")
+
+
+# verification -------------------------------------------------------------------------------------------------------
 
 
 def edit_distance(a: list[str], b: list[str], most: int) -> int:
@@ -124,45 +157,66 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
     return row[-1]
 
 
-def body_distance(a: list[str], b: list[str], most: int) -> int:
-    """Word edits between two sets of sentences in any order; more than ``most`` if they are further apart.
-
-    Equal sentences go together first, then the closest of the rest; what is left counts with all its words.
+def best_place(piece: list[str], text: list[str | None], low: int, high: int) -> tuple[int, int, int]:
+    """Edits, start and stop of the part of text[low:high] that ``piece`` is closest to."""
+    row = [(0, j) for j in range(low, high + 1)]
+    for i, x in enumerate(piece, 1):
+        last, row[0] = row[0], (i, low)
+        for j in range(1, len(row)):
+            keep = last if x == text[low + j - 1] else (last[0] + 1, last[1])
+            last = row[j]
+            row[j] = min(keep, (row[j][0] + 1, row[j][1]), (row[j - 1][0] + 1, row[j - 1][1]))
+    (edits, start), stop = min((x, low + j) for j, x in enumerate(row))
+    return edits, start, stop
+
+
+def _laid(pieces: list[str], other: list[str], most: int) -> int:
+    """Word edits if each sentence of ``pieces`` is laid where it fits the text of ``other`` best."""
+    text: list[str | None] = [w for s in other for w in s.split(" ")]
+    where: dict[str, list[int]] = {}
+    for at, w in enumerate(text):
+        where.setdefault(w, []).append(at)
+    total, free = 0, len(text)
+    for piece in sorted((p.split(" ") for p in pieces), key=len, reverse=True):
+        rare = sorted((len(where[w]), j) for j, w in enumerate(piece) if w in where)[:3]
+        starts = Counter(at - j for _, j in rare for at in where[piece[j]])
+        best = (len(piece), 0, 0)
+        for start, _ in sorted(starts.items(), key=lambda x: (-x[1], x[0])):
+            best = min(best, best_place(piece, text, max(0, start - 3), min(len(text), start + len(piece) + 3)))
+            if best[0] <= 1:
+                break
+        total += best[0]
+        if total > most:
+            return total
+        free -= sum(w is not None for w in text[best[1] : best[2]])
+        text[best[1] : best[2]] = [None] * (best[2] - best[1])
+    return total + free
+
+
+def body_edits(a: list[str], b: list[str], most: int) -> int:
+    """Word edits of a script between two lists of sentences in any order; more than ``most`` if it takes more.
+
+    Equal sentences go together. Each other sentence of one side is laid where it fits the other side's text best, whether
+    or not a lost full stop joined it to another one there; places are found by its three rarest words. Words of either
+    side that nothing is laid on count as edits. Of both ways round the shorter script counts.
     """
-    rest = list(b)
-    open_a = []
-    for s in a:
-        if s in rest:
-            rest.remove(s)
-        else:
-            open_a.append(s.split(" "))
-    open_b = [s.split(" ") for s in rest]
-    total = 0
-    options = sorted((edit_distance(x, y, max(len(x), len(y))), i, j) for i, x in enumerate(open_a) for j, y in enumerate(open_b))
-    used_a, used_b = set(), set()
-    for d, i, j in options:
-        if i not in used_a and j not in used_b and d < len(open_a[i]) + len(open_b[j]):
-            used_a.add(i)
-            used_b.add(j)
-            total += d
-            if total > most:
-                return total
-    return total + sum(len(x) for i, x in enumerate(open_a) if i not in used_a) + sum(len(y) for j, y in enumerate(open_b) if j not in used_b)
+    left, right = Counter(a), Counter(b)
+    x, y = sorted((left - right).elements()), sorted((right - left).elements())
+    there = _laid(x, y, most)
+    return there if there <= most else min(there, _laid(y, x, most))
 
 
 def say_the_same(title_a: str, body_a: list[str], title_b: str, body_b: list[str]) -> bool:
     """The verification of a candidate."""
     a, b = title_a.split(), title_b.split()
-    most = int(TITLE * max(len(a), len(b)))
+    most = title_edits(max(len(a), len(b)))
     if edit_distance(a, b, most) > most:
         return False
     words_a, words_b = (Counter(w for s in body for w in s.split(" ")) for body in (body_a, body_b))
-    union = (words_a | words_b).total()
-    shared = (words_a & words_b).total() / union if union else 1.0
-    if shared < SHARED or shared >= SURELY:  # the bag of words bounds the distance from below, whatever the sentences
-        return shared >= SURELY
+    if (words_a & words_b).total() < SHARED * (words_a | words_b).total():
+        return False
     most = int(BODY * max(words_a.total(), words_b.total()))
-    return body_distance(list(body_a), list(body_b), most) <= most
+    return body_edits(list(body_a), list(body_b), most) <= most
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,21 +225,46 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[keep, ["text_a", "text_b"]]
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """Pairs text_a < text_b of texts of one repository that say the same. ``texts``: repo, text (id), title, body."""
-    index = staged(index_segments(texts))
-    return _told(candidates(index, index).where("text_a < text_b").distinct(), texts, texts)
+class Indexed:
+    """Texts (repo, text, title, body) with their segments and substrings."""
 
+    def __init__(self, texts: DataFrame, segments: DataFrame, substrings: DataFrame) -> None:
+        self.texts, self.segments, self.substrings = texts, segments, substrings
 
-def _told(pair: DataFrame, texts_a: DataFrame, texts_b: DataFrame) -> DataFrame:
-    """The candidate pairs (text_a, text_b) that say the same."""
-    a = texts_a.select(F.col("text").alias("text_a"), "title", "body")
-    b = texts_b.select(F.col("text").alias("text_b"), F.col("title").alias("title_b"), F.col("body").alias("body_b"))
-    return pair.join(a, "text_a").join(b, "text_b").mapInPandas(_verify, "text_a long, text_b long")
+    @staticmethod
+    def of(texts: DataFrame) -> Indexed:
+        return Indexed(texts, staged(segments(texts)), staged(substrings(texts)))
+
+    def only(self, ids: DataFrame) -> Indexed:
+        """The part with the texts of ``ids`` (column text)."""
+        return Indexed(*(df.join(ids.select("text"), "text", "left_semi") for df in (self.texts, self.segments, self.substrings)))
+
+    def links(self, other: Indexed) -> DataFrame:
+        """text_a of this, text_b of the other, that say the same."""
+        pair = candidates(self.segments, other.substrings).unionByName(candidates(other.segments, self.substrings).select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b")))
+        return self._told(pair.distinct(), other)
+
+    def links_inside(self) -> DataFrame:
+        """Both directions of each pair of texts of this that say the same."""
+        pair = candidates(self.segments, self.substrings).select(F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b")).distinct()
+        told = staged(self._told(pair, self))
+        return told.unionByName(told.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b")))
+
+    def _told(self, pair: DataFrame, other: Indexed) -> DataFrame:
+        a = self.texts.select(F.col("text").alias("text_a"), "title", "body")
+        b = other.texts.select(F.col("text").alias("text_b"), F.col("title").alias("title_b"), F.col("body").alias("body_b"))
+        return pair.join(a, "text_a").join(b, "text_b").mapInPandas(_verify, PAIR)
+
+
+# decision -----------------------------------------------------------------------------------------------------------
 
 
 def _decided(state: DataFrame, joined: DataFrame) -> DataFrame:
-    """One round: reject what has an accepted record before it, accept what has nothing undecided before it."""
+    """One round: reject what has an accepted record before it, accept what has nothing undecided before it.
+
+    ``state``: rec_id, repo, at, print, text, status, known; only records with ``known`` (all links of their text are in
+    ``joined``) can be accepted.
+    """
     earliest = lambda what: F.min(F.when(F.col("status") == what, F.col("at")))
     by_print = state.where("print is not null").groupBy("repo", "print").agg(earliest("accepted").alias("pa"), earliest("open").alias("po"))
     by_text = state.groupBy("text").agg(earliest("accepted").alias("a"), earliest("open").alias("o"))
@@ -193,87 +272,156 @@ def _decided(state: DataFrame, joined: DataFrame) -> DataFrame:
     seen = state.join(by_print, ["repo", "print"], "left").join(around, "text", "left")
     accepted_before = F.coalesce(F.least("pa", "ta") < F.col("at"), F.lit(False))
     open_before = F.coalesce(F.least("po", "to") < F.col("at"), F.lit(False))
-    status = F.when(F.col("status") != "open", F.col("status")).when(accepted_before, F.lit("repeat")).when(~open_before, F.lit("accepted")).otherwise(F.lit("open"))
-    return seen.select("rec_id", "repo", "at", "print", "text", status.alias("status"))
+    status = F.when(F.col("status") != "open", F.col("status")).when(accepted_before, F.lit("repeat")).when(F.col("known") & ~open_before, F.lit("accepted")).otherwise(F.lit("open"))
+    return seen.select("rec_id", "repo", "at", "print", "text", status.alias("status"), "known")
 
 
-def repeats(scans: DataFrame, findings: DataFrame) -> DataFrame:
-    """id_a < id_b: each record that repeats an accepted one of an earlier batch of its repository, with that one.
-
-    A record repeats another if both have the same fingerprint or say the same (see the module). Batches go by time; those
-    of one time don't see each other. A record that repeats nothing accepted is accepted. Of several accepted records with
-    one fingerprint or one text the earliest, then the smallest id, is named. Records without batch, time or repository
-    are left out. Empty input gives no rows; extra columns are ignored.
-    """
-    rows = records(scans, findings)
-    keyed = staged(rows.withColumns({"k1": F.xxhash64("title", "body"), "k2": F.xxhash64(F.lit(1), "body", "title")}))
-    texts = staged(keyed.groupBy("repo", "k1", "k2").agg(F.min("rec_id").alias("text"), F.count("*").alias("n")))
-    of_text = keyed.select(F.col("rec_id").alias("text"), "repo", "title", "body").join(texts.select("text"), "text")
-    found = staged(links(of_text))
-    both = found.select(F.col("text_a").alias("text"), F.col("text_b").alias("other")).unionByName(found.select(F.col("text_b").alias("text"), F.col("text_a").alias("other")))
-
-    named = keyed.join(texts, ["repo", "k1", "k2"]).select("rec_id", "repo", "at", "print", "text", "n")
-    alike = named.groupBy("repo", "print").agg(F.count("*").alias("m")).where("print is not null and m > 1")
-    involved = (
-        named.join(alike, ["repo", "print"], "left")
-        .join(both.select("text").distinct().withColumn("linked", F.lit(1)), "text", "left")
-        .where("n > 1 or m > 1 or linked = 1")
-        .select("rec_id", "repo", "at", "print", "text", F.lit("open").alias("status"))
-    )
-    state = staged(involved)
-    joined = staged(both.unionByName(state.select("text", F.col("text").alias("other")).distinct()))
-    while not state.where("status = 'open'").isEmpty():
+def _settled(state: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rounds until nothing more can be decided. There are no more of them than batches of one repository."""
+    left = state.where("status = 'open'").count()
+    while left:
         state = staged(_decided(state, joined))
-
-    first = F.min(F.struct("at", "rec_id")).alias("first")
-    accepted, repeat = state.where("status = 'accepted'"), state.where("status = 'repeat'")
-    by_print = accepted.where("print is not null").groupBy("repo", "print").agg(first)
-    by_text = accepted.groupBy("text").agg(first).withColumnRenamed("text", "other")
-    same_print = repeat.join(by_print, ["repo", "print"])
-    same_text = repeat.join(joined, "text").join(by_text, "other")
-    hits = same_print.select("rec_id", "at", "first").unionByName(same_text.select("rec_id", "at", "first")).where("first.at < at")
-    return hits.select(F.least("rec_id", "first.rec_id").alias("id_a"), F.greatest("rec_id", "first.rec_id").alias("id_b")).distinct()
+        before, left = left, state.where("status = 'open'").count()
+        if left == before:
+            break
+    return state
 
 
 class SegmentIndex:
-    """Everything accepted so far, as tables in a folder, to check one batch after another without reading all again.
+    """Everything accepted so far, as tables in a folder, to check new batches without reading all of it again.
 
-    ``records`` holds the accepted records, ``segments`` the index of their titles. Both are
-    partitioned by a bucket of the repository, so a batch reads the buckets of its repositories only. Batches have to be
-    added in the order of their time; those of one time together.
+    ``records`` holds the accepted records, ``segments`` and ``substrings`` the index of their titles, ``seen`` the ids of
+    all records checked. All are partitioned by a bucket of the repository, so a delivery reads the buckets of its
+    repositories only. A delivery is any number of batches, all later than those before it. It counts once its number is
+    in ``commits``, which is written last: a delivery that failed is checked again as if nothing had happened.
     """
 
-    #: Folders of each table.
-    BUCKETS = 64
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod("repo", F.lit(self.BUCKETS)).cast("int"))
+    TABLES = {
+        "records": "repo long, text long, at timestamp, print string, title string, body array<string>",
+        "segments": "repo long, text long, n int, even long, odd long, key long",
+        "substrings": "repo long, text long, n int, even long, odd long, key long",
+        "seen": "repo long, text long",
+    }
 
-    def _append(self, df: DataFrame, name: str) -> None:
-        self._bucketed(df).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/{name}")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16) -> None:
+        self.spark, self.folder, self.buckets = spark, folder, buckets
 
-    def _table(self, name: str, like: DataFrame, buckets: list[int]) -> DataFrame:
-        """A stored table, or an empty one before the first batch."""
+    def _next(self) -> int:
+        """The number of the next delivery."""
         try:
-            stored = self.spark.read.parquet(f"{self.folder}/{name}")
-        except AnalysisException:
-            return like.limit(0)
-        return stored.where(F.col("bucket").isin(buckets)).select(*like.columns)
-
-    def check(self, batch: DataFrame) -> DataFrame:
-        """Check records (as ``records`` gives them) against the index and add those that repeat nothing: id_a < id_b."""
-        batch = staged(batch.withColumn("text", F.col("rec_id")))
-        buckets = [r.bucket for r in self._bucketed(batch).select("bucket").distinct().collect()]  # at most BUCKETS
-        entries = staged(index_segments(batch))
-        past, index = self._table("records", batch, buckets), self._table("segments", entries, buckets)
-        pair = candidates(entries, index).distinct()
-        by_text = _told(pair, batch, past).select(F.col("text_a").alias("rec_id"), F.col("text_b").alias("old"))
-        by_print = batch.where("print is not null").join(past.select("repo", "print", F.col("rec_id").alias("old")), ["repo", "print"]).select("rec_id", "old")
-        found = staged(by_text.unionByName(by_print).distinct())
-        fresh = staged(batch.join(found.select("rec_id"), "rec_id", "left_anti"))
-        self._append(fresh, "records")
-        self._append(entries.join(fresh.select("text"), "text", "left_semi").select(*entries.columns), "segments")
-        return found.select(F.least("rec_id", "old").alias("id_a"), F.greatest("rec_id", "old").alias("id_b"))
+            return self.spark.read.schema("delivery int").parquet(f"{self.folder}/commits").agg(F.max("delivery").alias("n")).first().n + 1
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0
+
+    def _bucket(self) -> Column:
+        return F.pmod("repo", F.lit(self.buckets)).cast("int")
+
+    def _stored(self, name: str, number: int, buckets: list[int]) -> DataFrame:
+        """The stored rows of some buckets, without those of a delivery that was not committed."""
+        ddl = self.TABLES[name]
+        if not number:
+            return self.spark.createDataFrame([], ddl)
+        held = self.spark.read.schema(f"{ddl}, delivery int, bucket int").parquet(f"{self.folder}/{name}")
+        return held.where((F.col("delivery") < number) & F.col("bucket").isin(buckets)).drop("delivery", "bucket")
+
+    def _store(self, df: DataFrame, name: str, number: int) -> None:
+        columns = [c.split(" ")[0] for c in self.TABLES[name].split(", ")]
+        rows = df.select(*columns).withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/delivery={number}")
+
+    def check(self, delivery: DataFrame) -> DataFrame:
+        """Check the records (as ``records`` gives them) of new batches and store those that are accepted.
+
+        Returns id_a < id_b: each record that repeats an accepted one of an earlier batch of its repository, with that
+        one; of several accepted ones with one fingerprint or one text, the earliest, then the smallest id. Batches of one
+        time don't see each other. Records checked before are left out.
+        """
+        number = self._next()
+        delivery = staged(delivery.withColumn("at", F.col("at").cast("timestamp")))
+        buckets = [r.bucket for r in delivery.select(self._bucket().alias("bucket")).distinct().collect()]  # at most self.buckets
+        stored = {name: self._stored(name, number, buckets) for name in self.TABLES}
+        new = delivery.join(stored["seen"].select(F.col("text").alias("rec_id")), "rec_id", "left_anti") if number else delivery
+        keyed = staged(new.withColumns({"k1": F.xxhash64("repo", "title", "body"), "k2": F.xxhash64(F.lit(1), "repo", "body", "title")}))
+        ids = keyed.groupBy("k1", "k2").agg(F.min("rec_id").alias("text"), F.min("at").alias("since"))
+        named = staged(keyed.join(ids, ["k1", "k2"]))
+        texts = Indexed.of(named.where("rec_id = text").select("repo", "text", "title", "body"))
+        state = named.select("rec_id", "repo", "at", "print", "text")
+
+        old = stored["records"]
+        if number:
+            found = texts.links(Indexed(old, stored["segments"], stored["substrings"])).select(F.col("text_a").alias("text"), F.col("text_b").alias("first"))
+            by_print = old.where("print is not null").groupBy("repo", "print").agg(F.min(F.struct("at", "text"))["text"].alias("first"))
+            against_old = staged(state.join(found, "text").select("rec_id", "text", "first").unionByName(state.join(by_print, ["repo", "print"]).select("rec_id", "text", "first")))
+        else:
+            against_old = self.spark.createDataFrame([], "rec_id long, text long, first long")
+
+        repeated = against_old.select("rec_id").distinct().withColumn("hit", F.lit("repeat"))
+        state = staged(state.join(repeated, "rec_id", "left").select(*state.columns, F.coalesce("hit", F.lit("open")).alias("status"), F.lit(False).alias("known")))
+        state, told = self._decide(state, named, texts)
+        hits = against_old.select("rec_id", "first").unionByName(told).distinct()
+
+        fresh = state.where("status = 'accepted'").select("rec_id")
+        kept = staged(named.drop("text").join(fresh, "rec_id").withColumnRenamed("rec_id", "text"))
+        self._store(kept, "records", number)
+        whose = named.join(fresh, "rec_id").groupBy("text").agg(F.min("rec_id").alias("rec_id"))  # those of one text are of one time
+        for name, entries in (("segments", texts.segments), ("substrings", texts.substrings)):
+            self._store(entries.join(whose, "text").drop("text").withColumnRenamed("rec_id", "text"), name, number)
+        self._store(keyed.select("repo", F.col("rec_id").alias("text")), "seen", number)
+        self.spark.createDataFrame([(number,)], "delivery int").coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+        return hits.select(F.least("rec_id", "first").alias("id_a"), F.greatest("rec_id", "first").alias("id_b"))
+
+    def _decide(self, state: DataFrame, named: DataFrame, texts: Indexed) -> tuple[DataFrame, DataFrame]:
+        """The status of every record of a delivery, and the repeats (rec_id, first) of others of the delivery."""
+        both = lambda df: df.unionByName(df.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b")))
+        joined = lambda pairs: pairs.select(F.col("text_a").alias("text"), F.col("text_b").alias("other")).unionByName(state.select("text", F.col("text").alias("other"))).distinct()
+        live = staged(state.where("status = 'open'").select("text").distinct())
+
+        # the earliest of each group of three texts or more with one segment and one smallest hash of a word
+        hashes = lambda seed: F.array_min(F.flatten(F.transform("body", lambda s: F.transform(F.split(s, " "), lambda w: F.xxhash64(F.lit(seed), w)))))
+        marks = named.where("rec_id = text").join(live, "text", "left_semi").select("text", "since", F.explode(F.array(hashes(1), hashes(2))).alias("mark"))
+        groups = texts.segments.join(marks, "text").groupBy("key", "mark").agg(F.count("*").alias("n"), F.min(F.struct("since", "text"))["text"].alias("leader"))
+        leaders = staged(groups.where("n > 2").select(F.col("leader").alias("text")).distinct())
+        known = staged(both(texts.only(leaders).links(texts.only(live))).distinct())
+        state = state.join(leaders.withColumn("lead", F.lit(True)), "text", "left").select("rec_id", "repo", "at", "print", "text", "status", F.coalesce("lead", F.lit(False)).alias("known"))
+        state = _settled(staged(state), staged(joined(known)))
+
+        # all pairs of what is left
+        rest = staged(state.where("status = 'open' and not known").select("text").distinct())
+        inside = staged(known.unionByName(texts.only(rest).links_inside()))
+        state = _settled(state.withColumn("known", F.lit(True)), staged(joined(inside)))
+
+        # what was left out of the search: its links with what is accepted
+        accepted = state.where("status = 'accepted'")
+        beside = state.select("text").distinct().join(rest, "text", "left_anti").join(leaders, "text", "left_anti")
+        more = texts.only(beside).links(texts.only(accepted.select("text").distinct()))
+        first = F.min(F.struct("at", "rec_id")).alias("first")
+        repeat = state.where("status = 'repeat'")
+        by_print = accepted.where("print is not null").groupBy("repo", "print").agg(first)
+        by_text = accepted.groupBy("text").agg(first).withColumnRenamed("text", "other")
+        same_print = repeat.join(by_print, ["repo", "print"])
+        same_text = repeat.join(joined(inside.unionByName(more)), "text").join(by_text, "other")
+        told = same_print.select("rec_id", "at", "first").unionByName(same_text.select("rec_id", "at", "first")).where("first.at < at")
+        return state, staged(told.select("rec_id", F.col("first.rec_id").alias("first")).distinct())
+
+
+def repeats(scans: DataFrame, findings: DataFrame, deliveries: int = 2) -> DataFrame:
+    """id_a < id_b: each record that repeats an accepted one of an earlier batch of its repository, with that one.
+
+    All batches go through a new ``SegmentIndex`` in the order of time, in as many ``deliveries`` of about the same number
+    of records; the result doesn't depend on how they are cut. A record repeats another if both have the same fingerprint
+    or say the same (see the module). A record that repeats nothing accepted is accepted. Records without batch, time or
+    repository are left out. Empty input gives no rows; extra columns are ignored.
+    """
+    spark = scans.sparkSession
+    rows = staged(records(scans, findings).withColumn("at", F.col("at").cast("timestamp")))
+    shares = [i / deliveries for i in range(1, deliveries)]
+    cuts = sorted(set(rows.agg(F.percentile_approx("at", shares, 1000).alias("cuts")).first().cuts or [])) if shares else []
+    index = SegmentIndex(spark, f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}")
+    found: DataFrame | None = None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows.where((F.lit(True) if low is None else F.col("at") > F.lit(low)) & (F.lit(True) if high is None else F.col("at") <= F.lit(high)))
+        told = index.check(part)
+        found = told if found is None else found.unionByName(told)
+    return found
