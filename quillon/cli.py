@@ -53,7 +53,9 @@ def scan(arguments: list[str], scanners: list[ScannerAdapter]) -> None:
     groups = staged(correlated(found))
     raw = found.count()
     if as_json:
-        print(report.json_document(groups, target, [s.id for s in available], raw))
+        for part in report.json_document(groups, target, [s.id for s in available], raw):
+            print(part, end="")
+        print()
         return
     print(f"\n{report.summary_line(groups.count(), raw)}\n")
     for row in report.text_report(groups).toLocalIterator():

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import variant as V
 from quillon.operators.dedupe import once
+from quillon.session import staged
 
 IDENTIFIER_KINDS = ("cwe", "cve", "osv", "ghsa")
 
@@ -103,24 +104,37 @@ def _table(docs: DataFrame, rows_of: object) -> DataFrame:
     return docs.select("report_id", F.inline(F.flatten(F.transform("found", rows_of))))
 
 
+def _whole(value: Column, name: str) -> Column:
+    """The number of a field if it is a whole one."""
+    return V.let(V.as_number(value, f"$.{name}"), lambda n: F.when(n == F.floor(n), n.cast("bigint")))
+
+
 def findings(docs: DataFrame) -> DataFrame:
-    """report_id, pos, finding_id and the plain fields of each finding."""
-    text = lambda f, name: V.as_text(f, f"$.{name}").alias(name)
-    rows = F.transform(
-        "found",
-        lambda x: F.struct(
-            x["pos"].alias("pos"), x["finding_id"].alias("finding_id"), *(text(x["finding"], n) for n in ("title", "description", "category", "severity")),
-            V.as_number(x["finding"], "$.confidence").alias("confidence"), V.as_text(x["finding"], "$.scanner.name").alias("scanner_name"), V.as_text(x["finding"], "$.scanner.ruleId").alias("rule_id"),
-        ),
-    )
-    return docs.select("report_id", F.inline(rows))
+    """report_id, pos, finding_id and the plain fields of each finding; its scanner may be text that holds an object."""
+
+    def row(x: Column) -> Column:
+        f = x["finding"]
+        text = lambda name: V.as_text(f, f"$.{name}").alias(name)
+        scanner = lambda name: V.as_text(_object(_get(f, "scanner")), f"$.{name}")
+        return F.struct(
+            x["pos"].alias("pos"), x["finding_id"].alias("finding_id"), *map(text, ("title", "description", "category", "severity")), V.as_number(f, "$.confidence").alias("confidence"),
+            scanner("name").alias("scanner_name"), scanner("version").alias("scanner_version"), scanner("ruleId").alias("rule_id"), *map(text, ("evidence", "remediation", "fingerprint")),
+        )
+
+    return docs.select("report_id", F.inline(F.transform("found", row)))
+
+
+def _place_of(f: Column) -> list[Column]:
+    return [f["pos"].alias("finding_pos"), f["finding_id"].alias("finding_id")]
 
 
 def locations(docs: DataFrame) -> DataFrame:
-    """report_id, finding_pos, finding_id, pos, path, start_line; path is null where there is none."""
+    """report_id, finding_pos, finding_id, pos, path, start_line, end_line, start_column, end_column; null where there is
+    none. Fractions of lines and columns count as none."""
+    numbers = (("startLine", "start_line"), ("endLine", "end_line"), ("startColumn", "start_column"), ("endColumn", "end_column"))
     return _table(docs, lambda f: F.transform(
         _places(f["finding"]),
-        lambda x: F.struct(f["pos"].alias("finding_pos"), f["finding_id"].alias("finding_id"), x["pos"].alias("pos"), V.as_text(x["value"], "$.path").alias("path"), V.as_number(x["value"], "$.startLine").cast("bigint").alias("start_line")),
+        lambda x: F.struct(*_place_of(f), x["pos"].alias("pos"), V.as_text(x["value"], "$.path").alias("path"), *(_whole(x["value"], a).alias(b) for a, b in numbers)),
     ))
 
 
@@ -128,28 +142,59 @@ def identifiers(docs: DataFrame) -> DataFrame:
     """report_id, finding_pos, finding_id, kind, pos, identifier; entries that are no text have a null identifier."""
 
     def of(f: Column, kind: str) -> Column:
-        row = lambda x, i: F.struct(f["pos"].alias("finding_pos"), f["finding_id"].alias("finding_id"), F.lit(kind).alias("kind"), i.alias("pos"), V.as_text(x).alias("identifier"))
+        row = lambda x, i: F.struct(*_place_of(f), F.lit(kind).alias("kind"), i.alias("pos"), V.as_text(x).alias("identifier"))
         return F.transform(_identifiers(f["finding"], kind), row)
 
     return _table(docs, lambda f: F.concat(*(of(f, kind) for kind in IDENTIFIER_KINDS)))
 
 
+def metadata(docs: DataFrame) -> DataFrame:
+    """report_id, finding_pos, finding_id, key, text, number of each entry of the metadata but the packages; text and
+    number are null where the value is neither."""
+
+    def rows(f: Column) -> Column:
+        entries = F.map_entries(F.try_variant_get(_object(_get(f["finding"], "metadata")), "$", "map<string,variant>"))
+        row = lambda e: F.struct(*_place_of(f), e["key"].alias("key"), V.as_text(e["value"]).alias("text"), V.as_number(e["value"]).alias("number"))
+        listed = F.transform(F.filter(entries, lambda e: e["key"] != "packages"), row)
+        return F.coalesce(listed, F.array().cast("array<struct<finding_pos:int,finding_id:string,key:string,text:string,number:double>>"))
+
+    return _table(docs, rows)
+
+
 def packages(docs: DataFrame) -> DataFrame:
     """report_id, finding_pos, finding_id, pos, name, installed_version, fixed_version of each package in the metadata."""
     return _table(docs, lambda f: F.transform(
         _packages(f["finding"]),
-        lambda p: F.struct(f["pos"].alias("finding_pos"), f["finding_id"].alias("finding_id"), p["pos"].alias("pos"), V.as_text(p["value"], "$.name").alias("name"), V.as_text(p["value"], "$.installedVersion").alias("installed_version"), V.as_text(p["value"], "$.fixedVersion").alias("fixed_version")),
+        lambda p: F.struct(*_place_of(f), p["pos"].alias("pos"), V.as_text(p["value"], "$.name").alias("name"), V.as_text(p["value"], "$.installedVersion").alias("installed_version"), V.as_text(p["value"], "$.fixedVersion").alias("fixed_version")),
     ))
 
 
 def package_paths(docs: DataFrame) -> DataFrame:
-    """report_id, finding_pos, finding_id, package_pos, pos, path of each path of each package."""
+    """report_id, finding_pos, finding_id, package_pos, pos, path, layer of each path of each package."""
     return _table(docs, lambda f: F.flatten(F.transform(
         _packages(f["finding"]),
-        lambda p: F.transform(_paths(p["value"]), lambda x: F.struct(f["pos"].alias("finding_pos"), f["finding_id"].alias("finding_id"), p["pos"].alias("package_pos"), x["pos"].alias("pos"), V.as_text(x["value"], "$.path").alias("path"))),
+        lambda p: F.transform(_paths(p["value"]), lambda x: F.struct(*_place_of(f), p["pos"].alias("package_pos"), x["pos"].alias("pos"), V.as_text(x["value"], "$.path").alias("path"), _whole(x["value"], "layer").alias("layer"))),
     )))
 
 
+def tables(reports: DataFrame) -> dict[str, DataFrame]:
+    """All flat tables by name. The reports are parsed once, into a table that all of them read."""
+    docs = staged(documents(reports))
+    return {make.__name__: make(docs) for make in (findings, locations, identifiers, metadata, packages, package_paths)}
+
+
+def links(made: dict[str, DataFrame]) -> DataFrame:
+    """child, rows, orphans: the rows of each table of ``tables`` below the findings, and those without their parent row."""
+    out: DataFrame | None = None
+    for child in ("locations", "identifiers", "metadata", "packages", "package_paths"):
+        parent = ("packages", ["report_id", "finding_pos", "pos"]) if child == "package_paths" else ("findings", ["report_id", "pos"])
+        parents = made[parent[0]].select(*(F.col(c).alias(n) for c, n in zip(parent[1], ("report_id", "finding_pos", "package_pos"), strict=False)), F.lit(1).alias("there"))
+        keys = [c for c in parents.columns if c != "there"]
+        counted = made[child].join(parents, keys, "left").agg(F.lit(child).alias("child"), F.count("*").alias("rows"), F.count_if(F.col("there").isNull()).alias("orphans"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 def leaves(reports: DataFrame) -> DataFrame:
     """Every text leaf below the findings: report_id, finding_id, child, parent_pos, child_pos, leaf.
 
@@ -232,9 +277,22 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT report_id, finding_id, 'package_path', {number('package_pos')}, {number('pos')}, {path} FROM q1",
     ]
     place = f"report_id, {number('finding_pos')} AS finding_pos, finding_id"
+    double = lambda x: f"CASE WHEN json_type({x}) IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN CAST(({x}) ->> '$' AS DOUBLE) END"
+    whole = lambda x: f"CASE WHEN {double(x)} = floor({double(x)}) THEN CAST({double(x)} AS BIGINT) END"
+    field = lambda name, said: f"{_sql_text(name)} AS {said}"
+    plain = ", ".join(field(f"f -> '{n}'", n) for n in ("title", "description", "category", "severity", "evidence", "remediation", "fingerprint"))
+    counts = " UNION ALL ".join(f"SELECT '{name}' AS child, count(*) AS rows, CAST(0 AS BIGINT) AS orphans FROM {source}" for name, source in (("locations", "l1"), ("identifiers", "i1"), ("metadata", "m1"), ("packages", "p1"), ("package_paths", "q1")))
+    base += f""",
+m0 AS (SELECT report_id, finding_pos, finding_id, {_sql_object("f -> 'metadata'")} AS m FROM f),
+m1 AS (SELECT *, json_extract(m, '$."' || key || '"') AS v FROM (SELECT *, unnest(json_keys(m)) AS key FROM m0 WHERE json_type(m) = 'OBJECT') WHERE key <> 'packages')"""
     return {
         "p5_found": f"{base} SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE leaf <> ''",
+        "p5_findings": f"""{base} SELECT report_id, {number('finding_pos')} AS pos, finding_id, {plain}, {double("f -> 'confidence'")} AS confidence,
+  {field("s -> 'name'", "scanner_name")}, {field("s -> 'version'", "scanner_version")}, {field("s -> 'ruleId'", "rule_id")} FROM (SELECT *, {_sql_object("f -> 'scanner'")} AS s FROM f)""",
+        "p5_locations": f"""{base} SELECT {place}, {number('pos')} AS pos, {path} AS path, {whole("value -> 'startLine'")} AS start_line, {whole("value -> 'endLine'")} AS end_line, {whole("value -> 'startColumn'")} AS start_column, {whole("value -> 'endColumn'")} AS end_column FROM l1""",
         "p5_identifiers": f"{base} SELECT {place}, kind, {number('pos')} AS pos, identifier FROM i1",
+        "p5_metadata": f"{base} SELECT {place}, key, {field('v', 'text')}, {double('v')} AS number FROM m1",
         "p5_packages": f"""{base} SELECT {place}, {number('pos')} AS pos, {name} AS name, {_sql_text("value -> 'installedVersion'")} AS installed_version, {_sql_text("value -> 'fixedVersion'")} AS fixed_version FROM p1""",
-        "p5_package_paths": f"{base} SELECT {place}, {number('package_pos')} AS package_pos, {number('pos')} AS pos, {path} AS path FROM q1",
+        "p5_package_paths": f"""{base} SELECT {place}, {number('package_pos')} AS package_pos, {number('pos')} AS pos, {path} AS path, {whole("value -> 'layer'")} AS layer FROM q1""",
+        "p5_links": f"{base} {counts}",
     }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import variant as V
-from quillon.functions.text import present, truthy
+from quillon.functions.text import truthy
 from quillon.schema import IDENTIFIERS, LOCATION, ORD, SCANNER, normal_severity
 
 #: The item classes of a report in their order, and the texts and confidences of each.
@@ -16,7 +16,8 @@ DEFAULT_TITLE = ("Dependency vulnerability", "Potential secret detected", "Confi
 CONFIDENCE = (0.95, 0.9, 0.9)
 SCANNER_NAME = "trivy"
 SECRET_REMEDIATION = "Revoke or rotate the exposed credential, then remove it from the repository and history where appropriate."
-UNNAMED_PACKAGE = "the affected dependency"
+UPGRADE, TO, OR_LATER, UNNAMED_PACKAGE = "Upgrade ", " to ", " or later.", "the affected dependency"
+IN_PACKAGE = " in "
 
 
 def parsed(reports: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -31,25 +32,26 @@ def parsed(reports: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFra
     return read.where("doc is not null"), broken
 
 
-def flatten(documents: DataFrame) -> DataFrame:
+def flatten(documents: DataFrame, classes: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """One row per report item: the other columns, ``ord``, ``target`` and the VARIANT ``item``.
 
     Results that are no object and items that are no object are skipped; anything that is no array has no entries. An
     item that is an array counts as an object without fields. Order is kept by ``ord``, wholly from positions. A column
-    scanner_seq is used if there is one; else it is 0.
+    scanner_seq is used if there is one; else it is 0. Only items of ``classes`` (places in ``CLASSES``) are read.
     """
     seq = F.col("scanner_seq") if "scanner_seq" in documents.columns else F.lit(0)
     kept = [c for c in documents.columns if c not in ("doc", "raw", "scanner_seq")]
     results = documents.select(*kept, seq.cast("int").alias("seq"), F.posexplode(V.as_array(F.col("doc"), "$.Results")).alias("result_pos", "result"))
 
-    def of(rank: int, name: str) -> Column:
-        entry = lambda item, pos: F.struct(F.lit(rank).alias("class_rank"), pos.alias("item_pos"), item.alias("item"))
-        return F.coalesce(F.transform(V.as_array(F.col("result"), f"$.{name}"), entry), F.array().cast("array<struct<class_rank:int,item_pos:int,item:variant>>"))
+    def of(rank: int, target: Column) -> Column:
+        entry = lambda item, pos: F.struct(F.lit(rank).alias("class_rank"), pos.alias("item_pos"), target.alias("target"), item.alias("item"))
+        return F.coalesce(F.transform(V.as_array(F.col("result"), f"$.{CLASSES[rank]}"), entry), F.array().cast("array<struct<class_rank:int,item_pos:int,target:string,item:variant>>"))
 
-    entries = F.concat(*(of(rank, name) for rank, name in enumerate(CLASSES)))
+    # each entry has its own target: a row behind the inline doesn't carry the whole result, which would be quadratic
+    entries = V.let(V.as_text(F.col("result"), "$.Target"), lambda target: F.concat(*(of(rank, target) for rank in classes)))
     return (
         results.where(V.is_record(F.col("result")))
-        .select(*kept, "seq", "result_pos", V.as_text(F.col("result"), "$.Target").alias("target"), F.inline(entries))
+        .select(*kept, "seq", "result_pos", F.inline(entries))
         .where(V.is_record(F.col("item")))
         .select(*kept, F.struct(F.col("seq").alias("scanner_seq"), "result_pos", "class_rank", "item_pos").cast(ORD).alias("ord"), "target", "item")
     )
@@ -78,8 +80,8 @@ def normalize(items: DataFrame) -> DataFrame:
     rule = by_class(text("VulnerabilityID"), text("RuleID"), F.coalesce(text("ID"), text("AVDID")))
     package, fixed = text("PkgName"), text("FixedVersion")
     title = F.coalesce(text("Title"), rule, by_class(*map(F.lit, DEFAULT_TITLE)))
-    title = F.when((rank == 0) & truthy(package), F.concat(title, F.lit(" in "), package)).otherwise(title)
-    upgrade = F.when(truthy(fixed), F.concat(F.lit("Upgrade "), F.coalesce(package, F.lit(UNNAMED_PACKAGE)), F.lit(" to "), fixed, F.lit(" or later.")))
+    title = F.when((rank == 0) & truthy(package), F.concat(title, F.lit(IN_PACKAGE), package)).otherwise(title)
+    upgrade = F.when(truthy(fixed), F.concat(F.lit(UPGRADE), F.coalesce(package, F.lit(UNNAMED_PACKAGE)), F.lit(TO), fixed, F.lit(OR_LATER)))
     metadata = by_class(
         F.to_json(F.struct(package.alias("package"), text("InstalledVersion").alias("installedVersion"), fixed.alias("fixedVersion"), text("PrimaryURL").alias("primaryUrl"))),
         none,
@@ -109,6 +111,6 @@ def normalize(items: DataFrame) -> DataFrame:
     ).withColumn("severity", F.coalesce("severity", F.lit("unknown")))
 
 
-def findings(reports: DataFrame, strict: bool = False) -> DataFrame:
+def findings(reports: DataFrame, strict: bool = False, classes: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """Findings of raw reports: columns scan_id, raw and, if there are several scanners, scanner_seq."""
-    return normalize(flatten(parsed(reports, strict)[0]))
+    return normalize(flatten(parsed(reports, strict)[0], classes))

@@ -112,43 +112,44 @@ def correlate_nested(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("scan_id", F.col("fingerprint").alias("fp"), F.col("primary.id").alias("primary_id"), ids("duplicates").alias("duplicates"), names.alias("sources"))
 
 
-def _reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Scanner reports built from the base tables, one per brand, event type and nation, to be parsed back."""
-    configure(spark)
-    p, e, s = (table(spark, folder, n) for n in ("part", "events", "supplier"))
+#: Items of a built report at most, and the key, group and identifier columns of each class of items.
+BLOCK = 500
+_CLASSES = (("part", "p_partkey", "p_brand", "Vulnerabilities"), ("events", "event_id", "event_type", "Secrets"), ("supplier", "s_suppkey", "s_nationkey", "Misconfigurations"))
 
-    def results(key: str, name: str, items: DataFrame) -> DataFrame:
-        listed = items.groupBy(key).agg(F.array_sort(F.collect_list("item")).alias("items"))
-        result = F.struct(F.concat(F.lit(f"{name}/"), F.col(key).cast("string")).alias("Target"), F.col("items").alias(name))
-        return listed.select(F.concat(F.lit(f"{name}-"), F.col(key).cast("string")).alias("scan_id"), F.to_json(F.struct(F.array(result).alias("Results"))).alias("raw"))
 
-    vulnerable = p.select(
-        "p_brand",
+def _reports(spark: SparkSession, folder: str, kinds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """Scanner reports built from the base tables, one for each brand, event type or nation and block of keys, to be
+    parsed back."""
+    configure(spark)
+    items = (
         F.struct(
             F.format_string("P-%09d", "p_partkey").alias("VulnerabilityID"), F.col("p_name").alias("PkgName"), F.upper("p_type").alias("Title"),
             F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.col("p_size").cast("string")).alias("FixedVersion"),
             F.element_at(F.array(F.lit("HIGH"), F.lit("Low"), F.lit("Negligible")), (F.col("p_size") % 3 + 1).cast("int")).alias("Severity"),
-        ).alias("item"),
-    )
-    secret = e.select(
-        "event_type",
+        ),
         F.struct(
             F.format_string("E-%09d", "event_id").alias("RuleID"), F.pmod("user_id", F.lit(5)).alias("StartLine"),
             F.col("props").alias("Match"), F.lit("CRITICAL").alias("Severity"),
-        ).alias("item"),
-    )
-    wrong = s.select(
-        "s_nationkey",
+        ),
         F.struct(
             F.format_string("S-%09d", "s_suppkey").alias("AVDID"), F.col("s_name").alias("Message"),
             F.when(F.col("s_acctbal") > 0, F.lit("medium")).alias("Severity"), F.lit("Do it.").alias("Resolution"),
-        ).alias("item"),
+        ),
     )
-    return results("p_brand", "Vulnerabilities", vulnerable).unionByName(results("event_type", "Secrets", secret)).unionByName(results("s_nationkey", "Misconfigurations", wrong))
+    built: DataFrame | None = None
+    for kind in kinds:
+        source, key, group, name = _CLASSES[kind]
+        block = F.floor(F.col(key) / BLOCK).cast("bigint").alias("block")
+        listed = table(spark, folder, source).groupBy(F.col(group).cast("string").alias("group"), block).agg(F.array_sort(F.collect_list(items[kind])).alias("items"))
+        result = F.struct(F.concat(F.lit(f"{name}/"), F.col("group")).alias("Target"), F.col("items").alias(name))
+        scan = F.concat(F.lit(f"{name}-"), "group", F.lit("-"), F.col("block").cast("string"))
+        raw = listed.select(scan.alias("scan_id"), F.to_json(F.struct(F.array(result).alias("Results"))).alias("raw"))
+        built = raw if built is None else built.unionByName(raw)
+    return built
 
 
 def _parsed(spark: SparkSession, folder: str, kind: int) -> DataFrame:
-    f = normalize.findings(_reports(spark, folder)).where(F.col("ord.class_rank") == kind)
+    f = normalize.findings(_reports(spark, folder, (kind,)), classes=(kind,))
     return f.select(
         "title", "description", "category", "severity", "confidence", F.col("scanner.rule_id").alias("rule_id"), F.col("location.path").alias("path"),
         F.col("location.start_line").cast("string").alias("line"), F.array_join("identifiers.cve", ",").alias("cve"), "evidence", "remediation",
@@ -160,6 +161,89 @@ def report_flatten_order(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("scan_id", F.col("scanner.rule_id").alias("rule_id"), *(F.col(f"ord.{c}").cast("bigint").alias(c) for c in ("result_pos", "class_rank", "item_pos")))
 
 
+#: Reports with something wrong, by the remainder of the key; # stands for the key.
+_WRONG = (
+    '{"Results":[null,3,"x",{"Target":"t#","Vulnerabilities":[7,null,{"VulnerabilityID":"V#","Severity":"HIGH"}]}]}',
+    '{"Results":{"Target":"t#","Secrets":[{"RuleID":"R#"}]}}',
+    '{"Results":[[],{"Target":"","Vulnerabilities":[[1]],"Secrets":{"RuleID":"R#"}}]}',
+    '{"Results":[{"Target":5,"Vulnerabilities":[{"VulnerabilityID":#,"Title":{},"PkgName":["p"],"FixedVersion":2}]}]}',
+    '{"Results":[{"Target":"t#","Secrets":[{"RuleID":"R#","StartLine":3.0},{"StartLine":"4"},{"StartLine":3.5,"Severity":" HIGH"},{"StartLine":0,"Severity":"High"}]}]}',
+    '{"Results":[{"Target":"t#"',
+    '{"Results":[{"Target":"t#","Secrets":[{"RuleID":"R#"}]}]} #',
+    '[{"Results":[{"Secrets":[{}]}]}]',
+    '{"Results":[{"Misconfigurations":[{"ID":null,"AVDID":"M#","Title":null,"Message":"m#","Description":7,"Resolution":""}],"Secrets":[{"RuleID":"a","RuleID":"R#"}]}]}',
+)
+
+
+def _malformed(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    o = table(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("scan_id"), (F.col("o_orderkey") % len(_WRONG)).alias("case"))
+    return o.select("scan_id", F.replace(F.element_at(F.array(*map(F.lit, _WRONG)), (F.col("case") + 1).cast("int")), F.lit("#"), F.col("scan_id")).alias("raw"))
+
+
+def report_malformed(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of reports with wrongly typed, missing and broken parts."""
+    f = normalize.findings(_malformed(spark, folder))
+    place = (F.col(f"ord.{c}").cast("bigint").alias(c) for c in ("result_pos", "class_rank", "item_pos"))
+    return f.select("scan_id", *place, "title", "description", "severity", "remediation", F.col("scanner.rule_id").alias("rule_id"), F.col("location.path").alias("path"), F.col("location.start_line").alias("line"))
+
+
+def report_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    """The reports that are no JSON document."""
+    return normalize.parsed(_malformed(spark, folder))[1]
+
+
+def report_two_scanners(spark: SparkSession, folder: str) -> DataFrame:
+    """Two scanners over one target, the second sees every third part: findings in scanner order, correlated, with the
+    scanners of the scan."""
+    configure(spark)
+    p = table(spark, folder, "part")
+    item = F.struct(F.format_string("P-%09d", "p_partkey").alias("VulnerabilityID"), F.col("p_name").alias("PkgName"), F.lit("LOW").alias("Severity"))
+    raw = F.to_json(F.struct(F.array(F.struct(F.lit("lock").alias("Target"), F.array(item).alias("Vulnerabilities"))).alias("Results"))).alias("raw")
+    scan = F.col("p_partkey").cast("string").alias("scan_id")
+    first, second = p.select(scan, F.lit(0).alias("scanner_seq"), raw), p.where("p_partkey % 3 = 0").select(scan, F.lit(1).alias("scanner_seq"), raw)
+    reports = first.unionByName(second)
+    names = F.array_join(F.transform(F.array_sort(F.collect_set("scanner_seq")), lambda i: F.concat(F.lit("scanner-"), i.cast("string"))), ",")
+    listed = reports.groupBy("scan_id").agg(names.alias("scanners"))
+    members = correlate.members(normalize.findings(reports)).select("scan_id", "id", F.col("ord.scanner_seq").cast("bigint").alias("scanner_seq"), "role", "source_first")
+    return members.join(listed, "scan_id")
+
+
+def report_json_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The JSON sink, read back: what each written group says."""
+    lines = report.json_findings(correlate.correlated(_findings(spark, folder)))
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    return lines.select(
+        "scan_id", at("fingerprint").alias("fp"), at("primary.id").alias("primary_id"), at("primary.title").alias("title"), at("primary.scanner.ruleId").alias("rule_id"),
+        at("primary.location.startLine").alias("line"), F.json_array_length(at("duplicates")).cast("bigint").alias("duplicates"), at("duplicates[0].id").alias("first_duplicate"),
+        F.json_array_length(at("sources")).cast("bigint").alias("sources"), at("sources[0].name").alias("first_source"), F.contains("json", F.lit(":null")).alias("writes_nulls"),
+    )
+
+
+def report_text_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The text sink with the place of each block."""
+    p = F.col("primary")
+    ranks = correlate.group_rank(correlate.summary(_findings(spark, folder)))
+    return ranks.select("scan_id", F.col("group_rank").cast("bigint").alias("place"), report.finding_lines(p["severity"], p["title"], p["location"], p["scanner"], p["remediation"]).alias("lines"))
+
+
+def availability_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Availability lines, with suppliers as scanners."""
+    configure(spark)
+    s = table(spark, folder, "supplier")
+    rows = s.select(
+        F.col("s_suppkey").cast("int").alias("scanner_seq"), F.when(F.col("s_suppkey") % 2 == 0, F.concat("s_name", F.lit(" of "), "s_name")).otherwise(F.col("s_name")).alias("display_name"),
+        (F.col("s_acctbal") > 0).alias("available"), F.when(F.col("s_suppkey") % 3 == 0, F.lit("1.0")).alias("version"), F.when(F.col("s_suppkey") % 3 == 1, F.lit("gone")).alias("reason"),
+    )
+    return report.availability_lines(rows)
+
+
+def scan_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Scan headers as they are written, with times in ISO-8601."""
+    configure(spark)
+    return report.header_lines(once(table(spark, folder, "scans").where("feed = 'batch'").select("scan_id", "scanner", "started_at", "target", "diagnostics"), "scan_id"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
     return snapshots.changes(table(spark, folder, "scans"), table(spark, folder, "snapshot_rows"))
@@ -178,6 +262,12 @@ def _p5(name: str) -> Query:
     return query
 
 
+def p5_links(spark: SparkSession, folder: str) -> DataFrame:
+    """All flat tables from one parse: how many rows each has, and how many of them lack their parent."""
+    configure(spark)
+    return nested.links(nested.tables(table(spark, folder, "scan_reports")))
+
+
 def queries() -> dict[str, Query]:
     on = lambda make, source: lambda spark, folder: make(source(spark, folder))
     return {
@@ -201,13 +291,22 @@ def queries() -> dict[str, Query]:
         "report_secrets": lambda s, d: _parsed(s, d, 1),
         "report_misconfigurations": lambda s, d: _parsed(s, d, 2),
         "report_flatten_order": report_flatten_order,
+        "report_malformed": report_malformed,
+        "report_diagnostics": report_diagnostics,
+        "report_two_scanners": report_two_scanners,
+        "report_json_lines": report_json_lines,
+        "report_text_ranked": report_text_ranked,
+        "availability_lines": availability_lines,
+        "scan_headers": scan_headers,
         "p2_found": p2_found,
         "p5_found": p5_found,
         "p5_findings": _p5("findings"),
         "p5_locations": _p5("locations"),
         "p5_identifiers": _p5("identifiers"),
+        "p5_metadata": _p5("metadata"),
         "p5_packages": _p5("packages"),
         "p5_package_paths": _p5("package_paths"),
+        "p5_links": p5_links,
     }
 
 
@@ -254,6 +353,26 @@ _SQL_NESTED = (
   string_agg(source_key, ',' ORDER BY p) FILTER (source_first) AS sources FROM q GROUP BY scan_id, fp"""
 )
 
+_SQL_JSON = (
+    _SQL_NESTED.replace("SELECT scan_id, fp, max(CASE", ", z AS (SELECT scan_id, fp, count(*) - 1 AS duplicates, max(CASE WHEN role = 'duplicate' AND pos = 0 THEN id END) AS first_duplicate, count(DISTINCT source_key) AS sources, arg_min(source_key, p) AS first_key, max(CASE")
+    .replace("coalesce(string_agg(id, ',' ORDER BY pos) FILTER (role = 'duplicate'), '') AS duplicates,", "")
+    .replace("END) AS primary_id, ", "END) AS primary_id")
+    .replace("string_agg(source_key, ',' ORDER BY p) FILTER (source_first) AS sources", "")
+    .replace("FROM q GROUP BY scan_id, fp", "FROM q GROUP BY scan_id, fp)")
+    + """ SELECT z.scan_id, z.fp, primary_id, title, scanner.rule_id AS rule_id, CAST(location.start_line AS VARCHAR) AS line, duplicates, first_duplicate, sources, split_part(first_key, ':', 1) AS first_source, false AS writes_nulls
+  FROM z JOIN f0 ON f0.id = z.primary_id"""
+)
+_SQL_MALFORMED = f"""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderkey % {len(_WRONG)} AS c FROM orders),
+e(c, result_pos, class_rank, item_pos, title, description, severity, remediation, rule_id, path, line) AS (VALUES
+  (0, 3, 0, 2, 'V#', NULL, 'high', NULL, 'V#', 't#', NULL),
+  (2, 1, 0, 0, 'Dependency vulnerability', NULL, 'unknown', NULL, NULL, NULL, NULL),
+  (3, 0, 0, 0, 'Dependency vulnerability', NULL, 'unknown', NULL, NULL, NULL, NULL),
+  (4, 0, 1, 0, 'R#', NULL, 'unknown', '!', 'R#', 't#', 3), (4, 0, 1, 1, 'Potential secret detected', NULL, 'unknown', '!', NULL, 't#', NULL),
+  (4, 0, 1, 2, 'Potential secret detected', NULL, 'unknown', '!', NULL, 't#', NULL), (4, 0, 1, 3, 'Potential secret detected', NULL, 'high', '!', NULL, 't#', NULL),
+  (8, 0, 1, 0, 'R#', NULL, 'unknown', '!', 'R#', NULL, NULL), (8, 0, 2, 0, 'M#', 'm#', 'unknown', '', 'M#', NULL, NULL))
+SELECT k AS scan_id, CAST(result_pos AS BIGINT) AS result_pos, CAST(class_rank AS BIGINT) AS class_rank, CAST(item_pos AS BIGINT) AS item_pos, replace(title, '#', k) AS title, replace(CAST(description AS VARCHAR), '#', k) AS description,
+  severity, CASE remediation WHEN '!' THEN '{normalize.SECRET_REMEDIATION}' ELSE remediation END AS remediation, replace(rule_id, '#', k) AS rule_id, replace(path, '#', k) AS path, CAST(line AS BIGINT) AS line FROM o JOIN e USING (c)"""
+
 _REPO = r"""regexp_replace(regexp_replace(regexp_replace(trim(lower(target.repository_url), e' \t\n\r'), '^[a-z+]+://', ''), '^[^@/]*@', ''), '(\.git)?/*$', '')"""
 _SQL_P2 = f"""WITH h0 AS (SELECT DISTINCT ON (scan_id) scan_id, completed_at, {_REPO} AS repo0, trim(target.branch) AS branch, regexp_replace(lower(target.commit_sha), '[^0-9a-f]', '', 'g') AS sha
   FROM scans WHERE feed = 'full' AND completed_at IS NOT NULL ORDER BY scan_id, completed_at),
@@ -298,9 +417,20 @@ def oracle_sql() -> dict[str, str]:
   'Secrets/' || event_type AS path, CAST(nullif(user_id % 5, 0) AS VARCHAR) AS line, {none} AS cve, props AS evidence, '{normalize.SECRET_REMEDIATION}' AS remediation FROM events""",
         "report_misconfigurations": f"""SELECT printf('S-%09d', s_suppkey) AS title, s_name AS description, 'misconfiguration' AS category, CASE WHEN s_acctbal > 0 THEN 'medium' ELSE 'unknown' END AS severity,
   CAST(0.9 AS DOUBLE) AS confidence, printf('S-%09d', s_suppkey) AS rule_id, 'Misconfigurations/' || CAST(s_nationkey AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS line, {none} AS cve, {none} AS evidence, 'Do it.' AS remediation FROM supplier""",
-        "report_flatten_order": """SELECT 'Vulnerabilities-' || p_brand AS scan_id, printf('P-%09d', p_partkey) AS rule_id, CAST(0 AS BIGINT) AS result_pos, CAST(0 AS BIGINT) AS class_rank, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS item_pos FROM part
-UNION ALL SELECT 'Secrets-' || event_type, printf('E-%09d', event_id), 0, 1, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 FROM events
-UNION ALL SELECT 'Misconfigurations-' || CAST(s_nationkey AS VARCHAR), printf('S-%09d', s_suppkey), 0, 2, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 FROM supplier""",
+        "report_flatten_order": " UNION ALL ".join(
+            f"SELECT '{name}-' || CAST({group} AS VARCHAR) || '-' || CAST({key} // {BLOCK} AS VARCHAR) AS scan_id, printf('{name_}-%09d', {key}) AS rule_id, CAST(0 AS BIGINT) AS result_pos, CAST({rank} AS BIGINT) AS class_rank, row_number() OVER (PARTITION BY {group}, {key} // {BLOCK} ORDER BY {key}) - 1 AS item_pos FROM {source}"
+            for rank, ((source, key, group, name), name_) in enumerate(zip(_CLASSES, "PES", strict=True))
+        ),
+        "report_malformed": _SQL_MALFORMED,
+        "report_diagnostics": f"SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, 'report is no valid JSON' AS problem FROM orders WHERE o_orderkey % {len(_WRONG)} IN (5, 6)",
+        "report_two_scanners": """WITH x AS (SELECT CAST(p_partkey AS VARCHAR) AS scan_id, s AS scanner_seq, p_partkey % 3 = 0 AS two FROM part, (VALUES (0), (1)) v(s) WHERE s = 0 OR p_partkey % 3 = 0)
+SELECT scan_id, sha256(scan_id || '/' || '{"scanner_seq":' || scanner_seq || ',"result_pos":0,"class_rank":0,"item_pos":0}') AS id, CAST(scanner_seq AS BIGINT) AS scanner_seq,
+  CASE scanner_seq WHEN 0 THEN 'primary' ELSE 'duplicate' END AS role, scanner_seq = 0 AS source_first, CASE WHEN two THEN 'scanner-0,scanner-1' ELSE 'scanner-0' END AS scanners FROM x""",
+        "report_json_lines": _with(_FINDINGS, _SQL_JSON),
+        "report_text_ranked": _with(_FINDINGS, f"SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY weight DESC, confidence DESC, first_p) AS place, {lines} AS lines FROM g WHERE best = 1"),
+        "availability_lines": """SELECT CASE WHEN s_acctbal > 0 THEN 'OK      ' ELSE 'MISSING ' END || ' ' || n || repeat(' ', greatest(0, 18 - length(n))) || ' ' || CASE s_suppkey % 3 WHEN 0 THEN '1.0' WHEN 1 THEN 'gone' ELSE '' END AS line
+  FROM (SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN s_name || ' of ' || s_name ELSE s_name END AS n FROM supplier)""",
+        "scan_headers": """SELECT DISTINCT scan_id, scanner, coalesce(strftime(started_at, '%Y-%m-%dT%H:%M:%S') || printf('.%03dZ', CAST(extract('milliseconds' FROM started_at) AS BIGINT) % 1000), '') AS started, coalesce(target.path, '') AS path, CAST(coalesce(len(diagnostics), 0) AS INTEGER) AS diagnostics FROM (SELECT DISTINCT ON (scan_id) * FROM scans WHERE feed = 'batch')""",
         "p2_found": _SQL_P2,
         **nested.oracle_sql(),
     }

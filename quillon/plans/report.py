@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from textwrap import indent
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import or_empty, pad_end, truthy
+from quillon.functions.text import iso_utc, or_empty, pad_end, truthy
 from quillon.operators.correlate import ranked
 
 #: Fixed value: shown where a finding has no location.
@@ -63,11 +65,23 @@ def json_findings(groups: DataFrame) -> DataFrame:
     return ranked(groups).select("scan_id", F.to_json(body).alias("json"))
 
 
-def json_document(groups: DataFrame, target: str, scanners: list[str], raw: int) -> str:
-    """The whole report of one interactive scan as one document; it gathers the groups on the driver."""
-    found = [json.loads(r.json) for r in json_findings(groups).toLocalIterator()]
-    body = {"target": target, "scanners": scanners, "rawFindingCount": raw, "correlatedFindingCount": len(found), "findings": found}
-    return json.dumps(body, indent=2, ensure_ascii=False)
+def json_document(groups: DataFrame, target: str, scanners: list[str], raw: int) -> Iterator[str]:
+    """The whole report of one interactive scan as one document, in parts; groups come one after another."""
+    head = {"target": target, "scanners": scanners, "rawFindingCount": raw, "correlatedFindingCount": groups.count(), "findings": []}
+    opened, closed = json.dumps(head, indent=2, ensure_ascii=False).rsplit("]", 1)
+    yield opened
+    between = "\n"
+    for r in json_findings(groups).toLocalIterator():
+        yield between + indent(json.dumps(json.loads(r.json), indent=2, ensure_ascii=False), "    ")
+        between = ",\n"
+    yield ("]" if between == "\n" else "\n  ]") + closed
+
+
+def header_lines(scans: DataFrame) -> DataFrame:
+    """scan_id, scanner, started (ISO-8601), path and the number of diagnostics of each scan header; empty where missing."""
+    return scans.select(
+        "scan_id", "scanner", or_empty(iso_utc(F.col("started_at"))).alias("started"), or_empty(F.col("target.path")).alias("path"), F.coalesce(F.size("diagnostics"), F.lit(0)).alias("diagnostics")
+    )
 
 
 def availability_lines(availability: DataFrame) -> DataFrame:

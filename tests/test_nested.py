@@ -92,5 +92,16 @@ def test_tables_link_to_parents(spark):
     assert nested.packages(docs).first().name == "n"
 
 
+def test_plain_fields(spark):
+    raw = '{"findings":[{"id":"a","scanner":"{\\"name\\":\\"n\\",\\"version\\":\\"2\\"}","evidence":"e","location":{"path":"p","startLine":3.7,"endLine":4,"startColumn":"5"},"metadata":{"k":1.5,"t":"x","packages":[],"n":null}}]}'
+    made = nested.tables(spark.createDataFrame([(1, raw), (1, raw), (2, None)], "report_id long, raw string"))
+    (f,) = made["findings"].collect()
+    assert (f.scanner_name, f.scanner_version, f.rule_id, f.evidence, f.remediation) == ("n", "2", None, "e", None)
+    (x,) = made["locations"].collect()
+    assert (x.start_line, x.end_line, x.start_column, x.end_column) == (None, 4, None, None)
+    assert sorted((r.key, r.text, r.number) for r in made["metadata"].collect()) == [("k", None, 1.5), ("n", None, None), ("t", "x", None)]
+    assert {(r.child, r.orphans) for r in nested.links(made).collect()} == {(n, 0) for n in ("locations", "identifiers", "metadata", "packages", "package_paths")}
+
+
 def test_empty(spark):
     assert nested.leaves(spark.createDataFrame([], "report_id long, raw string")).count() == 0

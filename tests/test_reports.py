@@ -90,7 +90,8 @@ def test_report_sinks(spark):
     lines = [r.lines for r in report.text_report(groups).collect()]
     assert lines[0].startswith("[HIGH] R\n  a/b:4\n  source: trivy / R\n  fix: Revoke")
     assert lines[1] == "[UNKNOWN] C\n  a/b\n  source: trivy / C\n  fix: Upgrade the affected dependency to 2 or later.\n"
-    body = json.loads(report.json_document(groups, "/t", ["trivy"], 3))
+    body = json.loads("".join(report.json_document(groups, "/t", ["trivy"], 3)))
+    assert json.loads("".join(report.json_document(groups.limit(0), "/t", [], 0)))["findings"] == []
     assert list(body) == ["target", "scanners", "rawFindingCount", "correlatedFindingCount", "findings"]
     assert (body["rawFindingCount"], body["correlatedFindingCount"]) == (3, 2)
     first = body["findings"][0]
