@@ -20,6 +20,8 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+_OWN: set[str] = set()
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings that the operators need. Memory, parallelism and broadcast limits stay the cluster's own."""
@@ -48,13 +50,32 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one, deleted when its Python ends."""
+    name = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/quillon-{name}"
+    if name not in _OWN:
+        _OWN.add(name)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is; a session that has ended leaves it to the owner of the folder."""
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001
+        return
+
+
+def staged(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back; ``by`` are columns of few values to part it by.
 
     Cuts the lineage in a way that survives the loss of executors, and gives the optimiser true sizes, so that a join
-    on the result is broadcast only where the written size allows it.
+    on the result is broadcast only where the written size allows it. The table is deleted when the session's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_own_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
