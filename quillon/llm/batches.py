@@ -21,11 +21,15 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from quillon.operators.dedupe import once
 from quillon.operators.snapshots import repository_key
@@ -72,66 +76,67 @@ def records(scans: DataFrame, findings: DataFrame) -> DataFrame:
 # index --------------------------------------------------------------------------------------------------------------
 
 
-def _edits(n: Column) -> Column:
-    return F.least(F.floor(n / TITLE_SHARE), F.lit(TITLE_MOST)).cast("int")
-
-
-def _span(first: Column, last: Column) -> Column:
-    """first, ..., last; empty if there are none."""
-    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-
-
-def _keys_for(w: Column, s: Column, m: Column, own: bool) -> Column:
-    """Keys of a title of the words ``w`` (``s`` of them) among the segments of titles of m >= s words.
-
-    ``own``: m is s and the keys are those of the title's own segments. Otherwise, for each segment, those of the
-    substrings where it can be found: it moves by no more than the segments before it were edited, nor can those behind
-    it be edited more often than is left.
+@lru_cache(maxsize=4096)
+def _places(s: int) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, range]]]:
+    """Where a title of s words has its own segments: number, place and size of each. And where it can have segments of
+    titles of m >= s words: number, size and places. A segment moves by no more than the segments before it were edited,
+    nor can those behind it be edited more often than is left."""
+    own, moved = [], []
+    m = s
+    while m - s <= title_edits(m):
+        most = title_edits(m)
+        size, longer = divmod(m, most + 1)  # as many of the last segments have a word more
+        place = 0
+        for i in range(most + 1):
+            of = size + (i > most - longer)
+            low, high = max(0, place - i, place + s - m - (most - i)), min(s - of, place + i, place + s - m + (most - i))
+            moved.append((f"{m},{i},", of, range(low, high + 1)))
+            if m == s:
+                own.append((f"{m},{i},", place, of))
+            place += of
+        m += 1
+        if m > s + TITLE_MOST:
+            break
+    return own, moved
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept, own, keys = [], [], []
+        for row, (repo, title) in enumerate(zip(batch.column("repo").to_pylist(), batch.column("title").to_pylist(), strict=True)):
+            w = title.split(" ") if title else []
+            seed = repo & (2**64 - 1)
+            segments, moved = _places(len(w))
+            mine = {xxh64_intdigest(number + " ".join(w[at : at + of]), seed) for number, at, of in segments}
+            other = {xxh64_intdigest(number + " ".join(w[at : at + of]), seed) for number, of, places in moved for at in places}
+            keys += mine
+            keys += other
+            own += [True] * len(mine) + [False] * len(other)
+            kept += [row] * (len(mine) + len(other))
+        taken = batch.select(["text", "n", "parity"]).take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.bool_()), pa.array(np.array(keys, np.uint64).view(np.int64)), *taken.columns], names=["own", "key", "text", "n", "parity"])
+
+
+def entries(texts: DataFrame) -> DataFrame:
+    """own, key, text, n, parity: texts (repo, text, title, body) under the keys of their titles' own segments, and of the
+    substrings that can be segments of a title as long or longer.
+
+    n is the number of words of the description, parity has 64 parities of the numbers of its words by hash. Cutting and
+    hashing titles runs over Arrow batches, as nested lambdas over arrays take several times as long.
     """
-    most = _edits(m)
-    parts = most + 1
-    short = F.floor(m / parts).cast("int")
-    longer = m - short * parts  # as many of the last segments have a word more
-
-    def of(i: Column) -> Column:  # from 0
-        size = short + (i >= parts - longer).cast("int")
-        place = i * short + F.greatest(F.lit(0), i - (parts - longer))  # from 0
-        moved = s - m
-        low = place if own else F.greatest(F.lit(0), place - i, place + moved - (most - i))
-        high = place if own else F.least(s - size, place + i, place + moved + (most - i))
-        return F.transform(_span(low, high), lambda at: F.xxhash64("repo", m, i, F.concat_ws(" ", F.slice(w, at + 1, size))))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), most), of))
-
-
-def _entries(texts: DataFrame, keys: Column) -> DataFrame:
-    """repo, text, n, even, odd of each text under each of its keys: n is the number of words of the description, even and
-    odd are 128 parities of the numbers of its words by hash."""
     hashes = F.flatten(F.transform("body", lambda s: F.transform(F.split(s, " "), lambda w: F.xxhash64(w))))
-    parity = lambda half: F.aggregate(F.filter("h", lambda h: h % 2 == 0 if half == 0 else h % 2 != 0), F.lit(0).cast("long"), lambda seen, h: seen.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 1), F.lit(64)).cast("int"))))
-    w = F.when(F.col("title") == "", F.array().cast("array<string>")).otherwise(F.split("title", " "))
-    read = texts.select("repo", "text", w.alias("w"), hashes.alias("h")).select("repo", "text", "w", F.size("w").alias("s"), F.size("h").alias("n"), parity(0).alias("even"), parity(1).alias("odd"))
-    return read.select("repo", "text", "n", "even", "odd", F.explode(F.array_distinct(keys)).alias("key"))
-
-
-def segments(texts: DataFrame) -> DataFrame:
-    """The stored segments of texts (repo, text, title, body)."""
-    return _entries(texts, _keys_for(F.col("w"), F.col("s"), F.col("s"), own=True))
-
-
-def substrings(texts: DataFrame) -> DataFrame:
-    """The substrings of texts that can be segments of a title as long or longer."""
-    longest = F.array_max(F.filter(_span(F.col("s"), F.col("s") + TITLE_MOST), lambda m: m - F.col("s") <= _edits(m)))
-    return _entries(texts, F.flatten(F.transform(_span(F.col("s"), longest), lambda m: _keys_for(F.col("w"), F.col("s"), m, own=False))))
+    parity = F.aggregate("h", F.lit(0).cast("long"), lambda seen, h: seen.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))))
+    read = texts.select("repo", "text", "title", hashes.alias("h")).select("repo", "text", "title", F.size("h").alias("n"), parity.alias("parity"))
+    return read.mapInArrow(_keys, "own boolean, key long, text long, n int, parity long")
 
 
 def candidates(held: DataFrame, probing: DataFrame) -> DataFrame:
-    """text_a, text_b: texts of ``held`` (segments) and of ``probing`` (substrings, or the other way round) that share a key
-    and whose descriptions may share ``SHARED`` of their words."""
-    a, b = (df.select("repo", "key", F.col("text").alias(f"text_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "even", "odd"))) for df, x in ((held, "a"), (probing, "b")))
-    apart = F.bit_count(F.col("even_a").bitwiseXOR(F.col("even_b"))) + F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b")))
+    """text_a, text_b: texts of ``held`` (entries of segments) and of ``probing`` (of substrings, or the other way round)
+    that share a key and whose descriptions may share ``SHARED`` of their words."""
+    a, b = (df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("text", "n", "parity"))) for df, x in ((held, "a"), (probing, "b")))
+    apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
     close = (apart <= (F.col("n_a") + F.col("n_b")) * ((1 - SHARED) / (1 + SHARED)) + 1e-6) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * SHARED - 1e-6)
-    return a.join(b, ["repo", "key"]).where(close & (F.col("text_a") != F.col("text_b"))).select("text_a", "text_b")
+    return a.join(b, "key").where(close & (F.col("text_a") != F.col("text_b"))).select("text_a", "text_b")
 
 
 # verification -------------------------------------------------------------------------------------------------------
@@ -226,18 +231,25 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Indexed:
-    """Texts (repo, text, title, body) with their segments and substrings."""
+    """Texts (repo, text, title, body) with their entries, those of segments and those of substrings."""
 
-    def __init__(self, texts: DataFrame, segments: DataFrame, substrings: DataFrame) -> None:
-        self.texts, self.segments, self.substrings = texts, segments, substrings
+    def __init__(self, texts: DataFrame, entries: DataFrame) -> None:
+        self.texts, self.entries = texts, entries
 
-    @staticmethod
-    def of(texts: DataFrame) -> Indexed:
-        return Indexed(texts, staged(segments(texts)), staged(substrings(texts)))
+    @property
+    def segments(self) -> DataFrame:
+        return self.entries.where("own")
+
+    @property
+    def substrings(self) -> DataFrame:
+        return self.entries.where("not own")
 
     def only(self, ids: DataFrame) -> Indexed:
         """The part with the texts of ``ids`` (column text)."""
-        return Indexed(*(df.join(ids.select("text"), "text", "left_semi") for df in (self.texts, self.segments, self.substrings)))
+        return Indexed(self.texts, self.entries.join(ids.select("text"), "text", "left_semi"))
+
+    def without(self, ids: DataFrame) -> Indexed:
+        return Indexed(self.texts, self.entries.join(ids.select("text"), "text", "left_anti"))
 
     def links(self, other: Indexed) -> DataFrame:
         """text_a of this, text_b of the other, that say the same."""
@@ -251,9 +263,9 @@ class Indexed:
         return told.unionByName(told.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b")))
 
     def _told(self, pair: DataFrame, other: Indexed) -> DataFrame:
-        a = self.texts.select(F.col("text").alias("text_a"), "title", "body")
-        b = other.texts.select(F.col("text").alias("text_b"), F.col("title").alias("title_b"), F.col("body").alias("body_b"))
-        return pair.join(a, "text_a").join(b, "text_b").mapInPandas(_verify, PAIR)
+        a = self.texts.select("repo", F.col("text").alias("text_a"), "title", "body")
+        b = other.texts.select(F.col("repo").alias("repo_b"), F.col("text").alias("text_b"), F.col("title").alias("title_b"), F.col("body").alias("body_b"))
+        return pair.join(a, "text_a").join(b, "text_b").where("repo = repo_b").select("text_a", "text_b", "title", "body", "title_b", "body_b").mapInPandas(_verify, PAIR)
 
 
 # decision -----------------------------------------------------------------------------------------------------------
@@ -290,16 +302,15 @@ def _settled(state: DataFrame, joined: DataFrame) -> DataFrame:
 class SegmentIndex:
     """Everything accepted so far, as tables in a folder, to check new batches without reading all of it again.
 
-    ``records`` holds the accepted records, ``segments`` and ``substrings`` the index of their titles, ``seen`` the ids of
-    all records checked. All are partitioned by a bucket of the repository, so a delivery reads the buckets of its
+    ``records`` holds the accepted records, ``entries`` the segments and substrings of their titles, ``seen`` the ids of all
+    records checked. All are partitioned by a bucket of the repository, so a delivery reads the buckets of its
     repositories only. A delivery is any number of batches, all later than those before it. It counts once its number is
     in ``commits``, which is written last: a delivery that failed is checked again as if nothing had happened.
     """
 
     TABLES = {
         "records": "repo long, text long, at timestamp, print string, title string, body array<string>",
-        "segments": "repo long, text long, n int, even long, odd long, key long",
-        "substrings": "repo long, text long, n int, even long, odd long, key long",
+        "entries": "repo long, own boolean, key long, text long, n int, parity long",
         "seen": "repo long, text long",
     }
 
@@ -346,12 +357,13 @@ class SegmentIndex:
         keyed = staged(new.withColumns({"k1": F.xxhash64("repo", "title", "body"), "k2": F.xxhash64(F.lit(1), "repo", "body", "title")}))
         ids = keyed.groupBy("k1", "k2").agg(F.min("rec_id").alias("text"), F.min("at").alias("since"))
         named = staged(keyed.join(ids, ["k1", "k2"]))
-        texts = Indexed.of(named.where("rec_id = text").select("repo", "text", "title", "body"))
+        wordings = named.where("rec_id = text").select("repo", "text", "title", "body")
+        texts = Indexed(wordings, staged(entries(wordings), "own"))
         state = named.select("rec_id", "repo", "at", "print", "text")
 
         old = stored["records"]
         if number:
-            found = texts.links(Indexed(old, stored["segments"], stored["substrings"])).select(F.col("text_a").alias("text"), F.col("text_b").alias("first"))
+            found = texts.links(Indexed(old, stored["entries"])).select(F.col("text_a").alias("text"), F.col("text_b").alias("first"))
             by_print = old.where("print is not null").groupBy("repo", "print").agg(F.min(F.struct("at", "text"))["text"].alias("first"))
             against_old = staged(state.join(found, "text").select("rec_id", "text", "first").unionByName(state.join(by_print, ["repo", "print"]).select("rec_id", "text", "first")))
         else:
@@ -365,9 +377,8 @@ class SegmentIndex:
         fresh = state.where("status = 'accepted'").select("rec_id")
         kept = staged(named.drop("text").join(fresh, "rec_id").withColumnRenamed("rec_id", "text"))
         self._store(kept, "records", number)
-        whose = named.join(fresh, "rec_id").groupBy("text").agg(F.min("rec_id").alias("rec_id"))  # those of one text are of one time
-        for name, entries in (("segments", texts.segments), ("substrings", texts.substrings)):
-            self._store(entries.join(whose, "text").drop("text").withColumnRenamed("rec_id", "text"), name, number)
+        whose = named.join(fresh, "rec_id").groupBy("repo", "text").agg(F.min("rec_id").alias("rec_id"))  # those of one text are of one time
+        self._store(texts.entries.join(whose, "text").drop("text").withColumnRenamed("rec_id", "text"), "entries", number)
         self._store(keyed.select("repo", F.col("rec_id").alias("text")), "seen", number)
         self.spark.createDataFrame([(number,)], "delivery int").coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
         return hits.select(F.least("rec_id", "first").alias("id_a"), F.greatest("rec_id", "first").alias("id_b"))
@@ -376,26 +387,26 @@ class SegmentIndex:
         """The status of every record of a delivery, and the repeats (rec_id, first) of others of the delivery."""
         both = lambda df: df.unionByName(df.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b")))
         joined = lambda pairs: pairs.select(F.col("text_a").alias("text"), F.col("text_b").alias("other")).unionByName(state.select("text", F.col("text").alias("other"))).distinct()
-        live = staged(state.where("status = 'open'").select("text").distinct())
 
         # the earliest of each group of three texts or more with one segment and one smallest hash of a word
         hashes = lambda seed: F.array_min(F.flatten(F.transform("body", lambda s: F.transform(F.split(s, " "), lambda w: F.xxhash64(F.lit(seed), w)))))
-        marks = named.where("rec_id = text").join(live, "text", "left_semi").select("text", "since", F.explode(F.array(hashes(1), hashes(2))).alias("mark"))
+        open_texts = state.where("status = 'open'").select("text").distinct()
+        marks = named.where("rec_id = text").join(open_texts, "text", "left_semi").select("text", "since", F.explode(F.array(hashes(1), hashes(2))).alias("mark"))
         groups = texts.segments.join(marks, "text").groupBy("key", "mark").agg(F.count("*").alias("n"), F.min(F.struct("since", "text"))["text"].alias("leader"))
         leaders = staged(groups.where("n > 2").select(F.col("leader").alias("text")).distinct())
-        known = staged(both(texts.only(leaders).links(texts.only(live))).distinct())
+        known = staged(both(texts.only(leaders).links(texts)).distinct())
         state = state.join(leaders.withColumn("lead", F.lit(True)), "text", "left").select("rec_id", "repo", "at", "print", "text", "status", F.coalesce("lead", F.lit(False)).alias("known"))
         state = _settled(staged(state), staged(joined(known)))
 
         # all pairs of what is left
-        rest = staged(state.where("status = 'open' and not known").select("text").distinct())
-        inside = staged(known.unionByName(texts.only(rest).links_inside()))
+        done = staged(state.groupBy("text").agg(F.bool_or((F.col("status") == "open") & ~F.col("known")).alias("left")).where("not left").select("text"))
+        inside = staged(known.unionByName(texts.without(done).links_inside()))
         state = _settled(state.withColumn("known", F.lit(True)), staged(joined(inside)))
 
         # what was left out of the search: its links with what is accepted
         accepted = state.where("status = 'accepted'")
-        beside = state.select("text").distinct().join(rest, "text", "left_anti").join(leaders, "text", "left_anti")
-        more = texts.only(beside).links(texts.only(accepted.select("text").distinct()))
+        refused = state.groupBy("text").agg(F.bool_and(F.col("status") == "repeat").alias("all")).where("all").select("text")
+        more = texts.only(done.join(leaders, "text", "left_anti")).links(texts.without(refused.unionByName(leaders)))
         first = F.min(F.struct("at", "rec_id")).alias("first")
         repeat = state.where("status = 'repeat'")
         by_print = accepted.where("print is not null").groupBy("repo", "print").agg(first)

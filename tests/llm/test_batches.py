@@ -188,7 +188,8 @@ def test_candidates_miss_no_pair(spark):
     want = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if batches.say_the_same(titles[i], [bodies[i]], titles[j], [bodies[j]])}
     texts = spark.createDataFrame([(1, i, t, [b]) for i, (t, b) in enumerate(zip(titles, bodies, strict=True))], "repo long, text long, title string, body array<string>")
     assert len(want) > 100
-    assert want <= {tuple(sorted((r.text_a, r.text_b))) for r in batches.candidates(batches.segments(texts), batches.substrings(texts)).collect()}
+    found = batches.entries(texts)
+    assert want <= {tuple(sorted((r.text_a, r.text_b))) for r in batches.candidates(found.where("own"), found.where("not own")).collect()}
 
 
 @settings(max_examples=200, deadline=None)
