@@ -154,12 +154,21 @@ k AS (SELECT id, coalesce({_KEPT.format("title")}, '') AS t, coalesce({_KEPT.for
   coalesce(list_sort(list_filter(list_transform(cve, lambda x: coalesce({_KEPT.format("x")}, '')), lambda x: x <> '')), []) AS c FROM f),
 g AS (SELECT id, min(id) OVER (PARTITION BY t, p, c) AS first_id FROM k)"""
 _ADVICE = ", ".join(f"'{x}'" for x in survivors.NO_ADVICE)
-_BEST = f"""WITH m AS (SELECT DISTINCT ON (member_id) * FROM group_members WHERE fingerprint IS NOT NULL),
+_MEMBERS = f"""m AS (SELECT DISTINCT ON (member_id) * FROM group_members WHERE fingerprint IS NOT NULL AND member_id IS NOT NULL),
 s AS (SELECT *, CASE lower(severity) WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END AS sev,
   CASE WHEN confidence IS NULL OR isnan(confidence) OR confidence < 0 OR confidence > 100 THEN -1 WHEN confidence > 1 THEN confidence / 100 ELSE confidence END AS conf,
-  {_PLAIN.format("remediation")} AS said, count(*) OVER (PARTITION BY fingerprint) AS n FROM m)
-SELECT fingerprint, 'primary' AS field, member_id FROM s WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY sev DESC, conf DESC, observed_at ASC NULLS LAST, member_id) = 1
-UNION ALL SELECT fingerprint, 'remediation', member_id FROM s WHERE n > 1 AND said <> '' AND said NOT IN ({_ADVICE}) QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY observed_at DESC NULLS LAST, member_id) = 1"""
+  CASE WHEN {_PLAIN.format("remediation")} NOT IN ('', {_ADVICE}) THEN remediation END AS advice, count(*) OVER (PARTITION BY fingerprint) AS n FROM m)"""
+_BEST = f"""WITH {_MEMBERS}
+SELECT fingerprint, 'primary' AS field, member_id FROM s WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY sev DESC, conf DESC, observed_at ASC NULLS LAST, advice IS NULL, member_id) = 1
+UNION ALL SELECT fingerprint, 'remediation', member_id FROM s WHERE n > 1 AND advice IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY observed_at DESC NULLS LAST, sev DESC, conf DESC, member_id) = 1"""
+# a cell's layer is the length of the longest chain of cells that dominate each other and end in it
+_SURVIVORS = f"""WITH RECURSIVE {_MEMBERS},
+x AS (SELECT *, (sev > 0)::INT + (conf >= 0)::INT + (advice IS NOT NULL)::INT AS complete, coalesce(date_diff('day', DATE '1970-01-01', observed_at::DATE), -1000000) AS day FROM s),
+c AS (SELECT DISTINCT fingerprint, sev, conf, complete, day FROM x),
+d AS (SELECT *, 1 AS layer FROM c UNION SELECT b.*, d.layer + 1 FROM d JOIN c b ON b.fingerprint = d.fingerprint AND (d.sev, d.conf) >= (b.sev, b.conf) AND d.complete >= b.complete AND d.day >= b.day AND (d.sev, d.conf, d.complete, d.day) <> (b.sev, b.conf, b.complete, b.day)),
+l AS (SELECT fingerprint, sev, conf, complete, day, max(layer) AS layer FROM d GROUP BY ALL),
+o AS (SELECT x.*, row_number() OVER (PARTITION BY fingerprint ORDER BY layer, sev DESC, conf DESC, complete DESC, day DESC, member_id) AS place FROM x JOIN l USING (fingerprint, sev, conf, complete, day))
+SELECT fingerprint, arg_min(member_id, place) AS member_id, coalesce(arg_min(lower(severity), place) FILTER (sev > 0), 'unknown') AS severity, arg_min(conf, place) FILTER (conf >= 0) AS confidence, arg_min(advice, place) FILTER (advice IS NOT NULL) AS remediation FROM o GROUP BY fingerprint"""
 _NGRAMS = r"""WITH d AS (SELECT DISTINCT ON (doc_id) doc_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
 g AS (SELECT doc_id, n AS size, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS gram FROM i, (VALUES (1), (2), (3)) v(n) WHERE pos + n - 1 <= len(w))
@@ -174,4 +183,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"{_COPIES} SELECT first_id AS id_a, id AS id_b FROM g WHERE id <> first_id",
         "p4_groups": f"{_COPIES} SELECT first_id, count(*) AS copies FROM g GROUP BY first_id HAVING count(*) > 1",
         "p6_found": _BEST,
+        "p6_survivors": _SURVIVORS,
     }

@@ -4,9 +4,11 @@ A member is dominated if another of its group is at least as good in every dimen
 the skyline; the policy, which ranks the dimensions, picks one of it. Members left over form the next layer, and so on;
 nulls of the chosen member are filled from the layers in turn.
 
-Groups are never gathered. Equal members collapse in a map-side aggregate to one cell; where only the skyline is wanted,
-the last dimension keeps only its best per cell as well. The cells of a group then stream through one task in the order of
-the policy, so that dominators come first and only a staircase per layer is kept in memory.
+Groups are never gathered. What lies in the first layers of a group lies in the first layers of any part of it, so every
+task first reduces the parts of groups that it holds to their first layers, and only these are brought together by group.
+Rows stream through in the order of the policy, so that dominators come first and only a staircase per layer is kept in
+memory. How many layers are needed isn't known before: where fields are still empty that some member could fill, more
+layers are computed, for these groups only.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.session import staged
+
 #: Severities from the best known to the least; anything else is unknown.
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
@@ -72,109 +76,122 @@ class Staircase:
         insort(self.steps, (a, b))
 
 
-def _layering(group: str, dims: int, only_first: bool):  # noqa: ANN202
-    """Add the layer (from 1) of each cell; cells come group by group, best by policy first."""
+def _layering(group: str, dims: list[list[str]], depth: int):  # noqa: ANN202
+    """Add the layer (from 1) of each row, of rows up to layer ``depth``. They come group by group, best by policy first, so
+    a row's first dimension is no better than that of the rows before it, and two dimensions are left to compare."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now: object = object()
-        layers: list = []
+        layers: list[Staircase] = []
         for b in batches:
             out = np.zeros(len(b), np.int32)
             keys = b[group].to_numpy()
-            points = list(zip(*(b[f"d{i}"].to_numpy() for i in range(dims)), strict=True))
-            for i, point in enumerate(points):
+            left, right = (b[names[0]].to_list() if len(names) == 1 else list(zip(*(b[n] for n in names), strict=True)) for names in dims[1:])
+            for i, point in enumerate(zip(left, right, strict=True)):
                 if keys[i] != now:
                     now, layers = keys[i], []
                 # dominated by a layer means dominated by all before it, so the first that doesn't is found by halving
                 low, high = 0, len(layers)
                 while low < high:
                     middle = (low + high) // 2
-                    if layers[middle].covers(*point[-2:]) if dims <= 3 else _dominated(layers[middle], point):
+                    if layers[middle].covers(*point):
                         low = middle + 1
                     else:
                         high = middle
-                if only_first and low:
+                if low == depth:
                     continue
                 if low == len(layers):
-                    layers.append(Staircase() if dims <= 3 else [])
-                layers[low].add(*point[-2:]) if dims <= 3 else layers[low].append(point)
+                    layers.append(Staircase())
+                layers[low].add(*point)
                 out[i] = low + 1
             yield b.assign(layer=out)[out > 0]
 
     return run
 
 
-def _dominated(layer: list[tuple], point: tuple) -> bool:
-    return any(all(x >= y for x, y in zip(p, point, strict=True)) for p in layer)
+def layered(rows: DataFrame, group: str, dims: list[list[str]], depth: int) -> DataFrame:
+    """``rows`` with their dominance layer in their group, up to layer ``depth``.
 
+    ``dims`` are three dimensions in the order of the policy, each of one column or of several that are compared in turn;
+    columns are without nulls, higher is better. A column ``member`` breaks ties, smallest first. Of equal rows the first is
+    in a layer and the others behind it; collapse them before where they should share one. Rows of a null group are left out.
+    """
+    order = [group, *(F.desc(n) for names in dims for n in names), "member"]
+    schema = T.StructType([*rows.schema.fields, T.StructField("layer", T.IntegerType())])
+    run = _layering(group, dims, depth)
+    parts = rows.where(F.col(group).isNotNull()).sortWithinPartitions(*order).mapInPandas(run, schema).drop("layer")
+    return parts.repartition(group).sortWithinPartitions(*order).mapInPandas(run, schema)
 
-def layered(members: DataFrame, group: str, dims: dict[str, Column], ident: str, only_first: bool = False, first_keeps: dict[str, Column] | None = None) -> DataFrame:
-    """The dominance layers of each group's cells: group, d0, d1, ..., member (the smallest id of the cell), size, layer.
 
-    ``dims`` are comparable columns without nulls, higher is better, two or more, in the order of the policy. Ids are
-    integers. Equal members form one cell. With ``only_first`` just the skyline comes out, and the last dimension is reduced beforehand.
-    ``first_keeps`` adds for each name the value and member of the cell's smallest id where the column is not null.
-    Members of a null group are left out.
-    """
-    names = [f"d{i}" for i in range(len(dims))]
-    keep = {k: c for k, c in (first_keeps or {}).items()}
-    placed = members.where(F.col(group).isNotNull()).select(group, F.col(ident).alias("member"), *(c.alias(n) for n, c in zip(names, dims.values(), strict=True)), *(c.alias(f"keep_{k}") for k, c in keep.items()))
-    kept = [F.min(F.when(F.col(f"keep_{k}").isNotNull(), F.struct("member", F.col(f"keep_{k}").alias("value")))).alias(k) for k in keep]
-    if only_first:
-        best = F.max(F.struct(names[-1], (-F.col("member")).alias("m")))
-        cells = placed.groupBy(group, *names[:-1]).agg(best.alias("best"), F.count("*").alias("size"))
-        cells = cells.select(group, *names[:-1], F.col(f"best.{names[-1]}").alias(names[-1]), (-F.col("best.m")).alias("member"), "size")
-    else:
-        cells = placed.groupBy(group, *names).agg(F.min("member").alias("member"), F.count("*").alias("size"), *kept)
-    lined = cells.repartition(group).sortWithinPartitions(group, *(F.desc(n) for n in names), "member")
-    schema = T.StructType([*lined.schema.fields, T.StructField("layer", T.IntegerType())])
-    return lined.mapInPandas(_layering(group, len(dims), only_first), schema)
-
-
-def chosen(layers: DataFrame, group: str, dims: int) -> DataFrame:
+def chosen(layers: DataFrame, group: str, dims: list[list[str]]) -> DataFrame:
     """The member of each group that the policy prefers among its skyline: group, member."""
-    order = F.struct(*(F.col(f"d{i}") for i in range(dims)), (-F.col("member")).alias("m"))
+    order = F.struct(*(F.col(n) for names in dims for n in names), (-F.col("member")).alias("m"))
     return layers.where("layer = 1").groupBy(group).agg((-F.max(order)["m"]).alias("member"))
 
 
+def _judged(members: DataFrame) -> DataFrame:
+    """Members once each, with what is compared: severity rank and confidence, completeness, time."""
+    once = members.select("member_id", "fingerprint", "severity", "confidence", "remediation", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at")).dropDuplicates(["member_id"])
+    return once.where("fingerprint is not null and member_id is not null").select(
+        "fingerprint", F.col("member_id").cast("long").alias("member"), "severity", severity_rank(F.col("severity")).alias("rank"), unit_confidence(F.col("confidence")).alias("sure"),
+        F.when(gives_advice(F.col("remediation")), F.col("remediation")).alias("advice"), "at",
+    )
+
+
 def best_fields(members: DataFrame) -> DataFrame:
     """fingerprint, field, member_id: for each group of two or more, its primary and the member with the latest advice.
 
     ``members``: member_id (integer), fingerprint, severity, confidence, remediation, observed_at. Rows delivered twice
-    under one member_id count once. 'primary' has the highest severity, then the highest confidence, then the earliest
-    observation; 'remediation' is the latest member that gives advice, if any does. Missing times count as the latest
-    for the first and the earliest for the second; remaining ties go to the smallest member_id. Groups without
-    fingerprint are left out, as is everything but these columns. Empty input gives no rows.
+    under one member_id count once. Either is chosen from a skyline over trust (severity, then confidence), recency and
+    completeness (whether it gives advice). For 'primary' trust comes first, then the earliest time, then completeness; for
+    'remediation' completeness, then the latest time, then trust, and nobody is chosen where none gives advice. Missing
+    times count as the latest for the first and the earliest for the second; remaining ties go to the smallest member_id.
+    Groups without fingerprint are left out, as is everything but these columns. Empty input gives no rows.
     """
-    once = members.select("member_id", "fingerprint", "severity", "confidence", "remediation", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at")).dropDuplicates(["member_id"])
-    small, large = F.lit(-(2**62)), F.lit(2**62)
-    grouped = once.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    primary = layered(once, "fingerprint", {"severity": severity_rank(F.col("severity")), "confidence": unit_confidence(F.col("confidence")), "early": -F.coalesce("at", large)}, "member_id", only_first=True)
-    advised = layered(once.where(gives_advice(F.col("remediation"))), "fingerprint", {"complete": F.lit(1), "late": F.coalesce("at", small)}, "member_id", only_first=True)
-    picked = chosen(primary, "fingerprint", 3).select("fingerprint", F.lit("primary").alias("field"), F.col("member").alias("member_id"))
-    picked = picked.unionByName(chosen(advised, "fingerprint", 2).select("fingerprint", F.lit("remediation").alias("field"), F.col("member").alias("member_id")))
-    return picked.join(grouped, "fingerprint", "left_semi")
-
-
-def survivors(members: DataFrame) -> DataFrame:
+    judged = staged(
+        _judged(members).select("fingerprint", "member", "rank", "sure", F.col("advice").isNotNull().cast("int").alias("complete"), F.coalesce(-F.col("at"), F.lit(-(2**62))).alias("early"), F.coalesce("at", F.lit(-(2**62))).alias("late"))
+    )
+    policies = {"primary": [["rank", "sure"], ["early"], ["complete"]], "remediation": [["complete"], ["late"], ["rank", "sure"]]}
+    several = judged.groupBy("fingerprint").agg(F.count("*").alias("n"), F.max("complete").alias("advised")).where("n > 1")
+    out: DataFrame | None = None
+    for field, dims in policies.items():
+        picked = chosen(layered(judged, "fingerprint", dims, 1), "fingerprint", dims)
+        allowed = several if field == "primary" else several.where("advised = 1")
+        rows = picked.join(allowed, "fingerprint", "left_semi").select("fingerprint", F.lit(field).alias("field"), F.col("member").alias("member_id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def survivors(members: DataFrame, depth: int = 4) -> DataFrame:
     """One record for each fingerprint, built from the layers: fingerprint, member_id, severity, confidence, remediation.
 
-    Dimensions in the order of the policy: trust (severity and confidence), completeness (fields that say something),
+    Dimensions in the order of the policy: trust (severity, then confidence), completeness (fields that say something),
     recency (the day of observation). The chosen member's unknown severity, missing confidence or empty advice is filled
-    from the best member of the earliest layer that has one, by policy within the layer. Same input rules as ``best_fields``.
+    from the best member of the earliest layer that has one, by policy within the layer. ``depth`` is the number of layers
+    computed at first. Same input rules as ``best_fields``.
     """
-    once = members.select("member_id", "fingerprint", "severity", "confidence", "remediation", "observed_at").dropDuplicates(["member_id"])
-    severity, confidence = severity_rank(F.col("severity")), unit_confidence(F.col("confidence"))
-    advice = F.when(gives_advice(F.col("remediation")), F.col("remediation"))
-    complete = (severity > 0).cast("int") + (confidence >= 0).cast("int") + advice.isNotNull().cast("int")
-    dims = {
-        "trust": severity * 10 + F.greatest(confidence, F.lit(0.0)),
-        "complete": complete,
-        "recent": F.coalesce(F.datediff(F.col("observed_at"), F.lit("1970-01-01")), F.lit(-1_000_000)),
-    }
-    keeps = {"severity": F.when(severity > 0, F.lower("severity")), "confidence": F.when(confidence >= 0, confidence), "remediation": advice}
-    cells = layered(once, "fingerprint", dims, "member_id", first_keeps=keeps)
-    order = F.struct("layer", *((-F.col(f"d{i}")).alias(f"o{i}") for i in range(3)), F.col("member").alias("m"))
+    fields = {"severity": F.when(F.col("rank") > 0, F.lower("severity")), "confidence": F.when(F.col("sure") >= 0, F.col("sure")), "remediation": F.col("advice")}
+    judged = _judged(members).select(
+        "fingerprint", "member", "rank", "sure", sum(f.isNotNull().cast("int") for f in fields.values()).alias("complete"),
+        F.coalesce(F.floor(F.col("at") / 86_400_000_000), F.lit(-1_000_000)).cast("long").alias("day"), *(f.alias(k) for k, f in fields.items()),
+    )
+    dims = [["rank", "sure"], ["complete"], ["day"]]
+    names = [n for dim in dims for n in dim]
+    held = lambda k: F.min(F.when(F.col(k).isNotNull(), F.struct("member", F.col(k).alias("value")))).alias(k)
+    cells = staged(judged.groupBy("fingerprint", *names).agg(F.min("member").alias("id"), *(held(k) for k in fields)).withColumnRenamed("id", "member"))
+    there = staged(cells.groupBy("fingerprint").agg(*(F.bool_or(F.col(k).isNotNull()).alias(f"has_{k}") for k in fields)))
+    order = F.struct("layer", *((-F.col(n)).alias(f"o_{n}") for n in names), F.col("member").alias("m"))
     first = lambda k: F.min_by(F.when(F.col(k).isNotNull(), F.col(f"{k}.value")), F.when(F.col(k).isNotNull(), order)).alias(k)
-    built = cells.groupBy("fingerprint").agg(F.min(order)["m"].alias("member_id"), *(first(k) for k in keeps))
-    return built.select("fingerprint", "member_id", F.coalesce("severity", F.lit("unknown")).alias("severity"), "confidence", "remediation")
+    built: DataFrame | None = None
+    while True:
+        made = layered(cells, "fingerprint", dims, depth).groupBy("fingerprint").agg(F.min(order)["m"].alias("member_id"), *(first(k) for k in fields))
+        whole = F.lit(True)
+        for k in fields:
+            whole = whole & (F.col(k).isNotNull() | ~F.col(f"has_{k}"))
+        made = staged(made.join(there, "fingerprint").withColumn("whole", whole))
+        good = made.where("whole").select("fingerprint", "member_id", F.coalesce("severity", F.lit("unknown")).alias("severity"), "confidence", "remediation")
+        built = good if built is None else built.unionByName(good)
+        left = made.where("not whole").select("fingerprint")
+        if left.isEmpty():
+            return built
+        cells, depth = staged(cells.join(left, "fingerprint", "left_semi")), depth * 4

@@ -44,11 +44,11 @@ def best(data):
         if fp is None or len(m) < 2:
             continue
         late, early = datetime(9999, 1, 1), datetime(1, 1, 1)
-        want.add((fp, "primary", min(m, key=lambda r: (-rank(r[2]), -unit(r[3]), r[5] or late, r[0]))[0]))
+        want.add((fp, "primary", min(m, key=lambda r: (-rank(r[2]), -unit(r[3]), r[5] or late, advice(r[4]) is None, r[0]))[0]))
         told = [r for r in m if advice(r[4])]
         if told:
             top = max(r[5] or early for r in told)
-            want.add((fp, "remediation", min(r[0] for r in told if (r[5] or early) == top)))
+            want.add((fp, "remediation", min((-rank(r[2]), -unit(r[3]), r[0]) for r in told if (r[5] or early) == top)[2]))
     return want
 
 
@@ -69,12 +69,12 @@ def layered(data):
         for r in members.values():
             s, c, a = rank(r[2]), unit(r[3]), advice(r[4])
             day = (r[5] - datetime(1970, 1, 1)).days if r[5] else -1_000_000
-            left.append(((s * 10 + max(c, 0.0), (s > 0) + (c >= 0) + (a is not None), day), r[0], r[2].lower() if s else None, c if c >= 0 else None, a))
+            left.append((((s, c), (s > 0) + (c >= 0) + (a is not None), day), r[0], r[2].lower() if s else None, c if c >= 0 else None, a))
         order = []
         layer = 1
         while left:
             top = [x for x in left if not any(all(p >= q for p, q in zip(y[0], x[0])) and y[0] != x[0] for y in left)]
-            order += sorted(top, key=lambda x: (*(-v for v in x[0]), x[1]))
+            order += sorted(top, key=lambda x: (*(-v for v in (*x[0][0], *x[0][1:])), x[1]))
             left = [x for x in left if x not in top]
             layer += 1
         first = lambda i: next((x[i] for x in order if x[i] is not None), None)  # noqa: E731, B023
@@ -84,8 +84,16 @@ def layered(data):
 
 def test_survivors(spark):
     data = rows(300, 2)
-    got = {r.fingerprint: tuple(r)[1:] for r in survivors.survivors(spark.createDataFrame(data, DDL)).collect()}
-    assert got == layered(data)
+    want = layered(data)
+    for depth in (4, 1):
+        got = {r.fingerprint: tuple(r)[1:] for r in survivors.survivors(spark.createDataFrame(data, DDL), depth).collect()}
+        assert got == want
+
+
+def test_advice_in_a_deep_layer(spark):
+    data = [(i, "f", "high", 0.9 - i / 100, "n/a", DAY0 + timedelta(days=50 - i)) for i in range(40)] + [(99, "f", "low", 0.1, "Fix it", DAY0)]
+    (r,) = survivors.survivors(spark.createDataFrame(data, DDL)).collect()
+    assert (r.member_id, r.severity, r.remediation) == (0, "high", "Fix it")
 
 
 def test_empty_and_extra_columns(spark):
