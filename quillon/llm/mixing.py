@@ -1,22 +1,24 @@
 """Mix sources to target shares of the total size.
 
-Whole repeats of a source cost no choice. For what is left of its budget, documents are counted by exact length and a
-bounded knapsack over the counts (subset sums as bits) finds how many of each length come closest to it; then that many
-are drawn of each length, by a seeded hash. The driver sees counts by source and length only, for the few sources that
-have a target.
+Whole repeats of a source cost no choice. For what is left of its budget, documents are counted by exact length. The same
+fraction of the documents of every length is taken, rounded over neighbouring lengths, so that the choice has the lengths
+of its source; that leaves less than one document. A bounded knapsack over the counts of the others (subset sums, longest first) comes as
+close to the rest as possible. Then that many are drawn of each length, by a seeded hash. The
+driver sees counts by source and length only, for the few sources that have a target.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.session import staged
 
-#: Size of the budget that is left to the knapsack, in tokens; what is larger is first filled in proportion.
-WINDOW = 1 << 15
+#: Documents of one source and length that one task ranks, about.
+SLICE = 100_000
 
 
 def source_key(source: Column) -> Column:
@@ -26,56 +28,52 @@ def source_key(source: Column) -> Column:
 
 
 def subset_sum(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many of each length sum up as closely as possible to ``budget`` without passing it."""
+    """How many of each length sum up as closely as possible to ``budget`` without passing it.
+
+    Sums that can be reached are bits of one number; for each sum the step that reached it first is kept, in 4 bytes.
+    Long ones come first, so few documents make the sum.
+    """
     mask = (1 << (budget + 1)) - 1
+    first = np.zeros(budget + 1, np.int32)
+    lengths = sorted((n for n, k in counts.items() if 0 < n <= budget and k > 0), reverse=True)
     reach = 1
-    steps: list[tuple[int, int, int]] = []  # length, number taken together, what could be reached before
-    for length, count in sorted(counts.items(), reverse=True):
-        left = min(count, budget // length) if length else 0
-        part = 1
-        while left > 0:
+    steps: list[tuple[int, int]] = []  # length, number taken together
+    for length in lengths:
+        left, part = min(counts[length], budget // length), 1
+        while left > 0 and not reach >> budget:
             part = min(part, left)
-            steps.append((length, part, reach))
-            reach |= (reach << (length * part)) & mask
+            new = (reach << (length * part)) & mask & ~reach
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits)] = len(steps)
+                steps.append((length, part))
+                reach |= new
             left -= part
             part *= 2
     at = reach.bit_length() - 1
     taken: dict[int, int] = {}
-    for length, part, before in reversed(steps):
-        if not (before >> at) & 1:
-            at -= length * part
-            taken[length] = taken.get(length, 0) + part
+    while at:
+        length, part = steps[first[at]]  # what it was reached from was reached by an earlier step
+        taken[length] = taken.get(length, 0) + part
+        at -= length * part
     return taken
 
 
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """``subset_sum`` for any budget: first the same fraction of the documents, rounded over neighbouring lengths, then single ones until the rest is within the window.
+    """How many of each length fill ``budget``: the same fraction of every length, then the subset sum of what is left.
 
-    Rounded down from the longest on, the first part never passes its share and stays below it by less than one document.
+    Rounded down from the longest on, the first part never passes the budget and stays below it by less than the longest
+    document, so the knapsack is no larger than that, at any budget.
     """
     available = sum(n * k for n, k in counts.items())
     budget = max(0, min(budget, available))
-    taken = {n: 0 for n in counts}
-    if budget > WINDOW and available:
-        seen = 0
-        for n in sorted(counts, reverse=True):
-            before = seen * (budget - WINDOW) // available
-            seen += counts[n]
-            taken[n] = seen * (budget - WINDOW) // available - before
-    rest = budget - sum(n * k for n, k in taken.items())
-    for n in sorted(counts, reverse=True):
-        if rest <= WINDOW:
-            break
-        more = min(counts[n] - taken[n], max(0, rest - WINDOW) // n if n else 0)
-        taken[n] += more
-        rest -= more * n
-    for n in sorted(counts):  # what longest first has passed over
-        if rest <= WINDOW:
-            break
-        more = min(counts[n] - taken[n], -(-(rest - WINDOW) // n) if n else 0, rest // n if n else 0)
-        taken[n] += more
-        rest -= more * n
-    for n, k in subset_sum({n: k - taken[n] for n, k in counts.items() if k > taken[n] and n}, rest).items():
+    taken, seen, rest = {n: 0 for n in counts}, 0, budget
+    for n in sorted(counts, reverse=True) if available else ():
+        before = seen * budget // available
+        seen += counts[n]
+        taken[n] = seen * budget // available - before
+        rest -= n * taken[n]
+    for n, k in subset_sum({n: k - taken[n] for n, k in counts.items()}, rest).items():
         taken[n] += k
     return {n: k for n, k in taken.items() if k}
 
@@ -119,7 +117,7 @@ def plan(counts: dict[str, dict[int, int]], targets: list[tuple[str, float, int]
     return out
 
 
-def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
     ``documents``: a unique ``doc_id``, ``source``, ``tokens``; ``targets``: source, target_share, max_repeats, one row per
@@ -139,21 +137,20 @@ def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, se
     plans = plan(counts, goals, total)
 
     whole = spark.createDataFrame([(p.source, p.repeats) for p in plans], "source string, repeats int")
-    drawn = spark.createDataFrame([(p.source, n, k) for p in plans for n, k in p.drawn.items()], "source string, tokens long, k long")
-    # the first k by hash among the documents of one source and length; a rank within a slice of the hash's range plus the
-    # number of documents in the slices before it, so that no task has to rank all documents of one length
-    hashed = named.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("slice", F.pmod("h", F.lit(buckets)).cast("int"))
+    # plain frames over rows of the driver: Spark broadcasts them as far as its own limit allows
+    drawn = spark.createDataFrame([(p.source, n, k, counts[p.source][n]) for p in plans for n, k in p.drawn.items()], "source string, tokens long, k long, n long")
+    placed = named.join(whole, "source").join(drawn, ["source", "tokens"], "left")
+    plain = placed.where("k is null or k >= n").select("doc_id", "source", "tokens", (F.col("repeats") + F.when(F.col("k") > 0, 1).otherwise(0)).alias("repeats"))
+    # the first k by hash among the documents of one source and length; a rank within a slice of them plus the number of
+    # documents in the slices before it, so that no task has to rank all documents of one length
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    hashed = placed.where("k < n").withColumn("h", h).withColumn("slice", F.pmod("h", F.ceil(F.col("n") / SLICE)).cast("long"))
     inside = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("source", "tokens", "slice").orderBy("h", "doc_id")))
-    slices = hashed.groupBy("source", "tokens", "slice").agg(F.count("*").alias("n"))
-    before = slices.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source", "tokens").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = inside.join(before.drop("n"), ["source", "tokens", "slice"])
-    once_more = F.when(F.col("rank") + F.col("before") <= F.coalesce("k", F.lit(0)), F.lit(1)).otherwise(F.lit(0))
-    mix = (
-        ranked.join(drawn, ["source", "tokens"], "left")
-        .join(F.broadcast(whole), "source")
-        .select("doc_id", "source", "tokens", (F.col("repeats") + once_more).cast("int").alias("repeats"))
-        .where("repeats > 0")
-    )
+    slices = hashed.groupBy("source", "tokens", "slice").agg(F.count("*").alias("m"))
+    before = slices.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("source", "tokens").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    once_more = F.when(F.col("rank") + F.col("before") <= F.col("k"), 1).otherwise(0)
+    ranked = inside.join(before.drop("m"), ["source", "tokens", "slice"]).select("doc_id", "source", "tokens", (F.col("repeats") + once_more).alias("repeats"))
+    mix = plain.unionByName(ranked).where("repeats > 0").withColumn("repeats", F.col("repeats").cast("int"))
     everything = sum(p.size for p in plans)
     caps = {g[0]: g[2] for g in goals}
     report = spark.createDataFrame(

@@ -103,18 +103,19 @@ def _pack(capacity: int):  # noqa: ANN202
     return run
 
 
-def packed(items: DataFrame, capacity: int, containers_per_shard: int = 4096) -> DataFrame:
+def packed(items: DataFrame, capacity: int, containers_per_shard: int = 4096, items_per_shard: int = 500_000) -> DataFrame:
     """Each item's container: container, item, piece, start, size.
 
     ``items``: a unique integer ``item`` and its ``size``. An item above the capacity is split into pieces that fill a
     container each and a rest; ``start`` is where the piece begins. No other item is split. Items without size or with
-    size 0 or below take no room and go to the first container of their shard. Equal items are interchangeable; ties go by
+    size 0 or below take no room and go to the first container of their shard; a shard has no more than about
+    ``items_per_shard`` items, whatever their size. Equal items are interchangeable; ties go by
     id, so the result is the same each time. Null items are left out. Empty input gives no rows; other columns are ignored.
     """
     size = F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long")
     sized = staged(items.where("item is not null").select(F.col("item").cast("long").alias("item"), size.alias("size")))
-    total = sized.agg(F.sum("size").alias("t")).first().t or 0
-    shards = max(1, -(-total // (capacity * containers_per_shard)))
+    whole = sized.agg(F.sum("size").alias("size"), F.count("*").alias("items")).first()
+    shards = max(1, -(-(whole.size or 0) // (capacity * containers_per_shard)), -(-whole.items // items_per_shard))
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / capacity) - 1).cast("int")), lambda p: F.struct(p.alias("piece"), (p.cast("long") * capacity).alias("start")))
     cut = sized.select("item", "size", F.inline(pieces)).select(
         F.pmod(F.xxhash64("item", "piece"), F.lit(shards)).cast("int").alias("shard"), "item", "piece", "start", F.least(F.col("size") - F.col("start"), F.lit(capacity)).alias("size")

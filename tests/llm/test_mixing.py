@@ -59,11 +59,34 @@ def test_empty(spark):
     assert mixing.mixed(spark.createDataFrame([(1, "a", 5, "")], DOCS), targets.limit(0))[0].count() == 0
 
 
-def test_above_the_window_in_proportion():
-    # 2,000 documents, each of a length of its own: of the long half as many as of the short one
-    counts = {1000 + i: 1 for i in range(2000)}
-    budget = sum(counts) // 2
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 900), st.integers(1, 30), min_size=1, max_size=40), st.floats(0, 1.1))
+def test_fit_keeps_budget_and_counts(counts, part):
+    available = sum(n * k for n, k in counts.items())
+    budget = int(part * available)
     taken = mixing.fit(counts, budget)
-    assert sum(n * k for n, k in taken.items()) == budget
-    long = sum(k for n, k in taken.items() if n >= 2000)
-    assert 450 < long < 550 and 450 < sum(taken.values()) - long < 550
+    assert all(0 < k <= counts[n] for n, k in taken.items())
+    assert 0 <= min(budget, available) - sum(n * k for n, k in taken.items()) < max(counts)
+
+
+def test_lengths_of_the_source_at_any_budget():
+    # lengths that occur once or a few times; the mean length drawn is that of the source
+    for counts in ({100 + i: 1 for i in range(4900)}, {100 + i: 20 for i in range(4900)}, {10 + i: 9 for i in range(300)}):
+        mean = sum(n * k for n, k in counts.items()) / sum(counts.values())
+        for part in (50, 20, 4, 2):
+            budget = sum(n * k for n, k in counts.items()) // part
+            taken = mixing.fit(counts, budget)
+            assert sum(n * k for n, k in taken.items()) == budget
+            drawn = sum(taken.values())
+            assert abs(budget / drawn - mean) < 0.08 * mean
+            low = sum(k for n, k in taken.items() if n < mean) / drawn
+            assert 0.42 < low < 0.58
+
+
+def test_one_hot_length_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 50)
+    docs = [(i, "a", 7, "") for i in range(999)]
+    targets = spark.createDataFrame([("a", 1.0, 3)], "source string, target_share double, max_repeats int")
+    mix, report = mixing.mixed(spark.createDataFrame(docs, DOCS), targets, total=7 * 1500)
+    rows = mix.collect()
+    assert sorted(r.repeats for r in rows) == [1] * 498 + [2] * 501 and report.first().tokens == 10_500

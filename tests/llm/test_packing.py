@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillon.llm import packing
 
@@ -55,3 +56,9 @@ def test_two_replace_the_shortest():
     import numpy as np
 
     assert sorted(packing.best_two_fit(np.array([60, 30, 25, 14]), 100)[0]) == [14, 25, 60]
+
+
+def test_many_empty_items_are_spread(spark):
+    items = spark.range(3000).select(F.col("id").alias("item"), F.lit(0).alias("size"))
+    placed = packing.packed(items, 10, items_per_shard=500)
+    assert placed.count() == 3000 and placed.select("container").distinct().count() == 6
