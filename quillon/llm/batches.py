@@ -113,28 +113,28 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys += other
             own += [True] * len(mine) + [False] * len(other)
             kept += [row] * (len(mine) + len(other))
-        taken = batch.select(["text", "n", "parity"]).take(pa.array(kept, pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.bool_()), pa.array(np.array(keys, np.uint64).view(np.int64)), *taken.columns], names=["own", "key", "text", "n", "parity"])
+        taken = batch.select(["text", "n", "even", "odd"]).take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.bool_()), pa.array(np.array(keys, np.uint64).view(np.int64)), *taken.columns], names=["own", "key", "text", "n", "even", "odd"])
 
 
 def entries(texts: DataFrame) -> DataFrame:
-    """own, key, text, n, parity: texts (repo, text, title, body) under the keys of their titles' own segments, and of the
+    """own, key, text, n, even, odd: texts (repo, text, title, body) under the keys of their titles' own segments, and of the
     substrings that can be segments of a title as long or longer.
 
-    n is the number of words of the description, parity has 64 parities of the numbers of its words by hash. Cutting and
+    n is the number of words of the description, even and odd are 128 parities of the numbers of its words by hash. Cutting and
     hashing titles runs over Arrow batches, as nested lambdas over arrays take several times as long.
     """
     hashes = F.flatten(F.transform("body", lambda s: F.transform(F.split(s, " "), lambda w: F.xxhash64(w))))
-    parity = F.aggregate("h", F.lit(0).cast("long"), lambda seen, h: seen.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))))
-    read = texts.select("repo", "text", "title", hashes.alias("h")).select("repo", "text", "title", F.size("h").alias("n"), parity.alias("parity"))
-    return read.mapInArrow(_keys, "own boolean, key long, text long, n int, parity long")
+    parity = lambda half: F.aggregate(F.filter("h", lambda h: F.pmod(h, F.lit(2)) == half), F.lit(0).cast("long"), lambda seen, h: seen.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 1), F.lit(64)).cast("int"))))
+    read = texts.select("repo", "text", "title", hashes.alias("h")).select("repo", "text", "title", F.size("h").alias("n"), parity(0).alias("even"), parity(1).alias("odd"))
+    return read.mapInArrow(_keys, "own boolean, key long, text long, n int, even long, odd long")
 
 
 def candidates(held: DataFrame, probing: DataFrame) -> DataFrame:
     """text_a, text_b: texts of ``held`` (entries of segments) and of ``probing`` (of substrings, or the other way round)
     that share a key and whose descriptions may share ``SHARED`` of their words."""
-    a, b = (df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("text", "n", "parity"))) for df, x in ((held, "a"), (probing, "b")))
-    apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
+    a, b = (df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("text", "n", "even", "odd"))) for df, x in ((held, "a"), (probing, "b")))
+    apart = F.bit_count(F.col("even_a").bitwiseXOR(F.col("even_b"))) + F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b")))
     close = (apart <= (F.col("n_a") + F.col("n_b")) * ((1 - SHARED) / (1 + SHARED)) + 1e-6) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * SHARED - 1e-6)
     return a.join(b, "key").where(close & (F.col("text_a") != F.col("text_b"))).select("text_a", "text_b")
 
@@ -310,7 +310,7 @@ class SegmentIndex:
 
     TABLES = {
         "records": "repo long, text long, at timestamp, print string, title string, body array<string>",
-        "entries": "repo long, own boolean, key long, text long, n int, parity long",
+        "entries": "repo long, own boolean, key long, text long, n int, even long, odd long",
         "seen": "repo long, text long",
     }
 
