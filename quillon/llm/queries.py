@@ -122,7 +122,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 def _assigned(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
     docs = table(spark, folder, "documents")
-    model = subjects.train(*subjects.sample(docs, table(spark, folder, "subject_labels"), table(spark, folder, "subjects")))
+    model = subjects.fitted(docs, table(spark, folder, "subject_labels"), table(spark, folder, "subjects"))
     return subjects.assigned(once(docs.select("doc_id", "text"), "doc_id"), model)
 
 

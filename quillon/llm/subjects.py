@@ -2,59 +2,100 @@
 
 A document deals with a subject if a good part of its sentences does, so the classifiers judge sentences: one linear
 classifier against the rest for each subject, over words and word pairs hashed into a fixed number of weights. They learn
-from weak labels: every sentence of a labelled document carries the document's subjects, and so does one that speaks the
-words of a subject's own title and description. A first fit tells topical from stock sentences; documents that it finds to
-be about one subject are weak labels for a second one. The share of sentences from which a document has a subject, and the
-score from which a sentence does, are calibrated on the labelled documents. The model has a fixed size and is sent to the
-executors; every document is judged by all its sentences.
-
-Fitting reads a bounded sample, taken by a hash of doc_id: ``LABELLED`` labelled and ``UNLABELLED`` other documents, of
-each at most ``SENTENCES`` sentences spread over it. Everything else covers all data.
+from weak labels, which come from three places:
+
+- labels given by hand: each sentence of such a document carries its subjects;
+- address paths and section metadata: where most of the hand-labelled documents with a part of the address, a source, a
+  kind or a word of a heading have one subject, the other documents with it carry that subject too;
+- the subjects' own titles and descriptions.
+
+A first fit tells topical from stock sentences; only those that it finds topical keep the label for the next. Every subject
+is fitted in a task of its own. The score from which a sentence deals with a subject is calibrated on hand-labelled documents
+that no fit has seen, by counting over all of them. The model has a fixed size and is sent to the executors; every
+document is judged by all its sentences.
+
+Fitting reads a bounded sample of labelled rows, taken by a hash of doc_id: ``LABELLED`` documents of each kind of label and
+about ``CHARACTERS`` of their texts, whole. Everything else covers all data and behaves alike at every size.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The sample for fitting, and the number of hashed weights of a subject.
-LABELLED, UNLABELLED, SENTENCES = 4_000, 4_000, 24
-WEIGHTS = 1 << 17
-#: The share of sentences that makes a good part, where nothing else is calibrated, and the subjects from which a line is a list.
-PART, LISTED = 0.2, 3
+from quillon.session import staged
+
+#: The sample of labelled rows for fitting, the share of hand labels kept for calibration (one in so many), and the number
+#: of hashed weights of a subject.
+LABELLED, CHARACTERS, HELD_OUT, WEIGHTS = 4_000, 32_000_000, 5, 1 << 17
+#: The share of sentences that makes a good part, and the scores of a sentence that calibration chooses from.
+PART, LEVELS = 0.2, tuple(i / 20 for i in range(4, 19))
+#: The share of one subject from which a part of an address or a piece of metadata is a label: a lower bound, at 95 %.
+EVIDENCE = 0.5
+#: Fits after the first, and gradient steps of each.
+REFITS, STEPS = 2, 30
 
 _TAG = re.compile(r"<[^<>]{1,80}>")
 _FENCE = re.compile(r"```.*?```", re.S)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SPLIT = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 _NOISE = re.compile(r"\S{60,}")
-#: Lines that list topics and say nothing: a heading of navigation or tags, or five entries and more behind a colon.
-_LIST = re.compile(r"(?im)^\W*(?:tags|topics|keywords|see also|browse by|related|categories|schlagw\w+|themen|siehe auch|etiquetas|temas|v[ée]ase)\b[^:\n]*:.*$|^[^:\n.]{1,30}:(?:[^,|;\n]{1,40}[,|;]){4,}[^,|;\n]{1,40}$")
+
+_HASHES: dict[str, int] = {}
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The sentences of a text as lists of words in lower case. Markup, fenced logs, long blobs, lists of topics
-    and lines of fewer than three words are left out."""
+    """The sentences of a text as lists of words in lower case. Markup, fenced logs, long blobs and lines of fewer than
+    three words are left out."""
     if not text:
         return []
-    plain = _LIST.sub("\n", _NOISE.sub(" ", _TAG.sub(" ", _FENCE.sub("\n", text))))
-    found = (_WORD.findall(s.lower()) for s in _SPLIT.split(plain))
+    plain = _NOISE.sub(" ", _TAG.sub(" ", _FENCE.sub("\n", text)))
+    found = map(_WORD.findall, _SPLIT.split(plain.lower()))
     return [w for w in found if len(w) >= 3]
 
 
-def features(words: list[str]) -> np.ndarray:
-    """The hashed words and word pairs of a sentence, each once. A plural s doesn't tell words apart."""
-    stems = [w[:-1] if len(w) > 3 and w.endswith("s") else w for w in words]
-    grams = {*stems, *(f"{a} {b}" for a, b in zip(stems, stems[1:], strict=False))}
-    return np.fromiter((zlib.crc32(g.encode()) % WEIGHTS for g in grams), np.int64, len(grams))
+def _hash(word: str) -> int:
+    """A word's hash, kept; a plural s doesn't tell words apart."""
+    h = _HASHES.get(word)
+    if h is None:
+        if len(_HASHES) >= 1 << 20:
+            _HASHES.clear()
+        h = _HASHES[word] = zlib.crc32((word[:-1] if len(word) > 3 and word.endswith("s") else word).encode())
+    return h
+
+
+@dataclass
+class Features:
+    """The hashed words and word pairs of sentences, each once a sentence: where in the weights, where each sentence starts
+    and how many it has."""
+
+    at: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def of(found: list[list[str]]) -> Features:
+        """All sentences at once. None may be empty."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        words = np.fromiter((_hash(w) for s in found for w in s), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(found)), sizes)
+        inside = owner[1:] == owner[:-1]
+        pairs = (words[:-1] * 1_000_003 ^ words[1:])[inside]
+        grams = np.r_[words, pairs]
+        key = np.unique(np.r_[owner, owner[:-1][inside]] * WEIGHTS + ((grams ^ (grams >> 17)) & (WEIGHTS - 1)))
+        size = np.bincount(key // WEIGHTS, minlength=len(found))
+        return Features(key % WEIGHTS, np.r_[0, np.cumsum(size)[:-1]], size)
+
+
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 @dataclass
@@ -62,186 +103,218 @@ class Model:
     subjects: list[str]
     weights: np.ndarray  # WEIGHTS x subjects
     bias: np.ndarray
-    level: float = 0.5  # score of a sentence
-    part: np.ndarray | None = None  # share of a document's sentences, by subject
+    level: np.ndarray = field(default_factory=lambda: np.zeros(0))  # score of a sentence, by subject
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+    def scores(self, found: list[list[str]]) -> np.ndarray:
         """The probability of each subject for each sentence."""
-        if not rows:
-            return np.zeros((0, len(self.subjects)))
-        sizes = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        total = np.add.reduceat(self.weights[np.concatenate(rows)], starts, axis=0)
-        return 1 / (1 + np.exp(-np.clip(total / np.sqrt(sizes)[:, None] + self.bias, -30, 30)))
-
-    def hits(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Which sentence deals with which subject; one that names several subjects is a list and deals with none."""
-        hit = self.scores(rows) >= self.level
-        hit[hit.sum(axis=1) >= LISTED] = False
-        return hit
-
-    def shares(self, rows: list[np.ndarray]) -> np.ndarray:
-        return self.hits(rows).mean(axis=0) if rows else np.zeros(len(self.subjects))
-
-
-def _fit(rows: list[np.ndarray], wanted: np.ndarray, weight: np.ndarray, rounds: int = 60, pull: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted logistic regression for all subjects at once, by full gradients with adaptive steps."""
-    sizes = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    used, at = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+        f = Features.of(found)
+        return _probability(np.add.reduceat(self.weights[f.at], f.start, axis=0) / np.sqrt(f.size)[:, None] + self.bias)
+
+
+@dataclass
+class Sample:
+    """What a fit reads, with equal sentences once: their features, the sentence and the subjects of every occurrence."""
+
+    features: Features
+    occurrence: np.ndarray
+    labels: np.ndarray  # occurrences x subjects
+    whole: np.ndarray  # whether an occurrence keeps its label in any case
+
+    @staticmethod
+    def of(labelled: list[tuple[str, set[str]]], subjects: list[str], words_of: dict[str, str]) -> Sample:
+        number = {s: i for i, s in enumerate(subjects)}
+        known: dict[str, int] = {}
+        occurrence, owner, labels = [], [], []
+        told = [*((sentences(t), names) for t, names in labelled), *(([_WORD.findall(text.lower())], {s}) for s, text in words_of.items())]
+        for i, (found, names) in enumerate(told):
+            occurrence += [known.setdefault(" ".join(w), len(known)) for w in found if w]
+            owner += [i] * sum(1 for w in found if w)
+            labels.append(np.isin(np.arange(len(subjects)), [number[n] for n in names if n in number]))
+        owner_of = np.array(owner, np.int64)
+        return Sample(Features.of([k.split(" ") for k in known]), np.array(occurrence, np.int64), np.array(labels, bool).reshape(-1, len(subjects))[owner_of], owner_of >= len(labelled))
+
+
+def _fit(sample: Sample, j: int, pull: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """The weights (where, what) and bias of one subject against the rest: weighted logistic regression by full gradients
+    with adaptive steps. Equal sentences count by the root of their number."""
+    f = sample.features
+    used, at = np.unique(f.at, return_inverse=True)
     order = np.argsort(at, kind="stable")
     firsts = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
-    scale = (1 / np.sqrt(sizes)).astype(np.float32)
-    owner_by_feature = owner[order]
-    w = np.zeros((wanted.shape[1], len(used)), np.float32)
-    b = np.full(wanted.shape[1], -2.0, np.float32)
-    weight = weight.astype(np.float32)
-    shrink = pull * weight.sum() / 100
-    for j in range(wanted.shape[1]):  # one subject at a time, so that memory doesn't grow with their number
-        seen, seen_b = np.full(len(used), 1e-8, np.float32), 1e-8
-        target = wanted[:, j].astype(np.float32)
-        for _ in range(rounds):
-            z = np.add.reduceat(w[j][at], starts) * scale + b[j]
-            slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight
-            g = np.add.reduceat((slope * scale)[owner_by_feature], firsts) + shrink * w[j]
-            gb = slope.sum()
+    owner = np.repeat(np.arange(len(f.size)), f.size)[order]
+    scale = (1 / np.sqrt(f.size)).astype(np.float32)
+    times = np.bincount(sample.occurrence, minlength=len(f.size))
+    weight = np.sqrt(times).astype(np.float32)
+    shrink = np.float32(pull * weight.sum() / 100)
+    mine = sample.labels[:, j]
+    told = mine / np.maximum(1, sample.labels.sum(axis=1))  # of a document with several subjects each has its share
+    w, b = np.zeros(len(used), np.float32), 0.0
+    for _ in range(REFITS + 1):
+        target = (np.bincount(sample.occurrence, told, len(times)) / times).astype(np.float32)
+        w, b, seen, seen_b = np.zeros(len(used), np.float32), -2.0, np.full(len(used), 1e-8, np.float32), 1e-8
+        for _ in range(STEPS):
+            slope = (_probability(np.add.reduceat(w[at], f.start) * scale + b) - target) * weight
+            g, gb = np.add.reduceat((slope * scale)[owner], firsts) + shrink * w, float(slope.sum())
             seen += g * g
             seen_b += gb * gb
-            w[j] -= 0.5 * g / np.sqrt(seen)
-            b[j] -= 0.3 * gb / np.sqrt(seen_b)
-    full = np.zeros((WEIGHTS, wanted.shape[1]), np.float32)
-    full[used] = w.T
-    return full, b
-
-
-def _collapsed(docs: list[tuple[list[list[str]], np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Equal sentences become one with the mean of their labels and the root of their number as weight."""
-    held: dict[str, list] = {}
-    for sents, labels in docs:
-        for words in sents:
-            entry = held.setdefault(" ".join(words), [words, np.zeros_like(labels, dtype=float), 0])
-            entry[1] += labels
-            entry[2] += 1
-    values = list(held.values())
-    return [features(w) for w, _, _ in values], np.array([y / n for _, y, n in values]), np.sqrt([n for _, _, n in values])
-
-
-def _thinned(sents: list[list[str]]) -> list[list[str]]:
-    if len(sents) <= SENTENCES:
-        return sents
-    return [sents[int(i)] for i in np.linspace(0, len(sents) - 1, SENTENCES)]
-
-
-def train(labelled: list[tuple[str, set[str]]], unlabelled: list[str], subjects: list[str], words_of: dict[str, str]) -> Model:
-    """A model from labelled texts (subjects, or none), other texts, and the words that describe each subject."""
-    number = {s: i for i, s in enumerate(subjects)}
-    k = len(subjects)
+            w -= 0.5 * g / np.sqrt(seen)
+            b -= 0.3 * gb / np.sqrt(seen_b)
+        score = _probability(np.add.reduceat(w[at], f.start) * scale + b)
+        told = (mine & (sample.whole | (score[sample.occurrence] >= 0.3))).astype(float)
+    return used, w, b
 
-    def vector(names: set[str]) -> np.ndarray:
-        y = np.zeros(k)
-        y[[number[s] for s in names if s in number]] = 1
-        return y
-
-    told = [(sentences(t), vector(names)) for t, names in labelled]
-    fit_on = [(_thinned(s), y / max(1, y.sum())) for s, y in told if s]
-    seeds = [([_WORD.findall(text.lower())], vector({s})) for s, text in words_of.items() if s in number]
-    other = [_thinned(s) for s in map(sentences, unlabelled) if s]
-    rows, y, n = _collapsed(fit_on + seeds)
-    model = Model(subjects, *_fit(rows, y, n))
-    for _ in range(3):
-        # sentences of labelled documents: their label if the model agrees or knows no better; others: none
-        refined = []
-        for s, labels in fit_on:
-            p = model.scores([features(w) for w in s])
-            own = labels > 0
-            best = np.where(own, p, 0)
-            sure = best >= 0.3
-            for i, words in enumerate(s):
-                refined.append(([words], (sure[i] & own & (p[i] >= 0.5 * best[i].max())).astype(float) if own.any() else np.zeros(k)))
-        for s in other:
-            p = model.scores([features(w) for w in s])
-            strong = p >= 0.5
-            strong[strong.sum(axis=1) >= LISTED] = False
-            share = strong.mean(axis=0)
-            about = share >= PART
-            if about.sum() == 1 and share.max() >= 0.4:  # its other sentences are weak labels where no other subject claims them
-                refined.append(([w for w, q in zip(s, p, strict=True) if q[about][0] >= 0.25], about.astype(float)))
-                refined.append(([w for w, q in zip(s, p, strict=True) if q.max() < 0.05], np.zeros(k)))
-            elif not strong.any():
-                refined.append((s[:4], np.zeros(k)))
-        rows, y, n = _collapsed([r for r in refined if r[0]] + seeds)
-        model = Model(subjects, *_fit(rows, y, n))
-    return calibrated(model, [([features(w) for w in s], y) for s, y in told if s])
-
-
-def calibrated(model: Model, told: list[tuple[list[np.ndarray], np.ndarray]]) -> Model:
-    """Set the score of a sentence and, by subject, the share of a document's sentences where the labels fit best.
-
-    A subject's share moves from the common one only if its own labels are many and gain by it.
-    """
-    if not told:
-        model.part = np.full(len(model.subjects), PART)
+
+def train(spark: SparkSession, labelled: list[tuple[str, set[str]]], subjects: list[str], words_of: dict[str, str]) -> Model:
+    """A model from labelled texts (with their subjects, or none) and the words that describe each subject."""
+    k = len(subjects)
+    model = Model(subjects, np.zeros((WEIGHTS, k), np.float32), np.full(k, -30.0), np.full(k, 0.5))
+    words_of = {s: t for s, t in words_of.items() if _WORD.search(t)}
+    if not k or not (words_of or any(sentences(t) for t, _ in labelled)):
         return model
-    truth = np.array([y > 0 for _, y in told])
-    grid = np.arange(0.1, 0.32, 0.01)
-
-    def f1(found: np.ndarray, true: np.ndarray) -> float:
-        return 2 * (found & true).sum() / max(1, found.sum() + true.sum())
-
-    best = (-1.0, 0.5, PART, np.zeros_like(truth, dtype=float))
-    for level in (0.3, 0.4, 0.5, 0.6, 0.7):
-        model.level = level
-        share = np.array([model.shares(rows) for rows, _ in told])
-        for part in grid:
-            value = f1(share >= part - 1e-9, truth) - 0.2 * abs(part - PART)
-            if value > best[0] + 1e-6:
-                best = (value, level, part, share)
-    _, model.level, common, share = best
-    model.part = np.full(len(model.subjects), common)
-    for j in range(len(model.subjects)):
-        if truth[:, j].sum() < 200:
-            continue
-        base = f1(share[:, j] >= common - 1e-9, truth[:, j])
-        value, part = max((f1(share[:, j] >= p - 1e-9, truth[:, j]) - 0.2 * abs(p - common), p) for p in grid)
-        if value > base + 0.005:
-            model.part[j] = part
+    sent = spark.sparkContext.broadcast(Sample.of(labelled, subjects, words_of))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for j in b["id"]:
+                used, w, bias = _fit(sent.value, int(j))
+                yield pd.DataFrame({"j": [j], "used": [used.astype(np.int32).tobytes()], "w": [w.tobytes()], "bias": [bias]})
+
+    for r in spark.range(0, k, 1, k).mapInPandas(run, "j long, used binary, w binary, bias double").toLocalIterator():
+        model.weights[np.frombuffer(r.used, np.int32), r.j] = np.frombuffer(r.w, np.float32)
+        model.bias[r.j] = r.bias
+    sent.unpersist()
     return model
 
 
-def sample(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[list[tuple[str, set[str]]], list[str], list[str], dict[str, str]]:
-    """What ``train`` takes, from tables: at most LABELLED and UNLABELLED documents, by a hash of doc_id.
+# labels -------------------------------------------------------------------------------------------------------------
+
+
+def hand_labels(labels: DataFrame, subjects: DataFrame) -> DataFrame:
+    """doc_id, names (the subjects, in their own writing), held (kept for calibration): one row per hand-labelled document.
 
     Labels count trimmed and in lower case; names that are no subject count as none.
     """
-    named = subjects.select(F.lower(F.trim("subject")).alias("key"), "subject", "title", "description").where("subject is not null").dropDuplicates(["key"]).collect()
-    names = {r.key: r.subject for r in named}
-    per_doc = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.lower(F.trim("subject"))).alias("names")).withColumn("h", F.xxhash64("doc_id"))
-    chosen = per_doc.orderBy("h", "doc_id").limit(LABELLED)
-    text = documents.select("doc_id", "text").where("text is not null")
-    told = text.join(F.broadcast(chosen), "doc_id").select("text", "names").dropDuplicates(["text"])
-    labelled = [(r.text, {names[n] for n in r.names if n in names}) for r in told.toLocalIterator()]
-    hashed = text.join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("h", F.xxhash64(F.lit(1), "doc_id"))
-    others = [r.text for r in hashed.select("h", "text").orderBy("h").limit(UNLABELLED).select("text").collect()]
-    return labelled, others, [r.subject for r in named], {r.subject: f"{r.title or ''}. {r.description or ''}" for r in named}
+    own = subjects.where("subject is not null").select(F.lower(F.trim("subject")).alias("key"), "subject").groupBy("key").agg(F.min("subject").alias("subject"))
+    named = labels.where("doc_id is not null").select("doc_id", F.lower(F.trim("subject")).alias("key")).join(own, "key", "left")
+    return named.groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("names")).withColumn("held", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(HELD_OUT)) == 0)
+
+
+def _metadata(documents: DataFrame) -> DataFrame:
+    """doc_id, token: the parts of a document's address, its source, its kind, and the words of its headings."""
+    column = lambda name: F.lower(F.col(name)) if name in documents.columns else F.lit(None).cast("string")
+    parts = lambda text, mark: F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.concat(F.lit(mark), x))
+    one = lambda name: F.when(column(name).isNotNull(), F.array(F.concat(F.lit(f"{name}:"), F.array_join(parts(column(name), ""), "-")))).otherwise(F.array().cast("array<string>"))
+    headings = F.array_join(F.regexp_extract_all(F.coalesce(column("text"), F.lit("")), F.lit(r"(?m)^#+ *(.+)$"), 1), " ")
+    tokens = F.concat(parts(column("repository_url"), "address:"), one("source"), one("doc_kind"), parts(headings, "heading:"))
+    return documents.where("doc_id is not null").select("doc_id", F.explode(F.array_distinct(tokens)).alias("token"))
+
+
+def evidence(documents: DataFrame, told: DataFrame) -> DataFrame:
+    """token, subject, documents, share: the pieces of metadata of which at least ``EVIDENCE`` of the documents have one
+    subject. ``told`` are the hand labels to count (doc_id, names)."""
+    tokens = _metadata(documents).join(told.select("doc_id", "names"), "doc_id")
+    total = tokens.groupBy("token").agg(F.count("*").alias("documents"))
+    of = tokens.select("token", F.explode("names").alias("subject")).groupBy("token", "subject").agg(F.count("*").alias("k"))
+    n, p, z = F.col("documents"), F.col("k") / F.col("documents"), 1.96
+    low: Column = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return of.join(total, "token").where(low >= EVIDENCE).select("token", "subject", "documents", p.alias("share"))
+
+
+def metadata_labels(documents: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
+    """doc_id, names: the documents without hand label that carry a piece of ``evidence``, with its subjects."""
+    tokens = _metadata(documents).join(told.select("doc_id"), "doc_id", "left_anti")
+    return tokens.join(found.select("token", "subject"), "token").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("names"))
+
+
+def _drawn(documents: DataFrame, labelled: DataFrame) -> list[tuple[str, set[str]]]:
+    """The texts and subjects of the sample: the first by a hash of doc_id, up to ``LABELLED`` and ``CHARACTERS``."""
+    text = documents.select("doc_id", "text").where("text is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    hashed = staged(text.join(labelled.select("doc_id", "names"), "doc_id").withColumn("h", F.xxhash64("doc_id")))
+    sizes = hashed.select("h", "doc_id", F.length("text").alias("n")).orderBy("h", "doc_id").limit(LABELLED).collect()
+    held, last = 0, None
+    for r in sizes:
+        held += r.n
+        if last is not None and held > CHARACTERS:
+            break
+        last = r
+    if last is None:
+        return []
+    rows = hashed.where((F.col("h") < last.h) | ((F.col("h") == last.h) & (F.col("doc_id") <= last.doc_id)))
+    return [(r.text, set(r.names)) for r in sorted(rows.toLocalIterator(), key=lambda r: (r.h, r.doc_id))]
+
+
+# use ----------------------------------------------------------------------------------------------------------------
+
+
+def _shares(model: Model, texts: list[str | None], levels: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For parts of the texts that have sentences: their places, and by level the share of sentences of each subject."""
+    at, found, held = [], [], 0
+    for i, text in enumerate([*texts, None]):
+        own = sentences(text)
+        if own:
+            at.append(i)
+            found.append(own)
+            held += len(text)
+        if at and (held > 2_000_000 or i == len(texts)):  # bounded, however long the texts of a batch are
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            score = model.scores([s for own in found for s in own])
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            yield np.array(at), np.array([np.add.reduceat(score >= level, starts, axis=0, dtype=np.int64) / sizes[:, None] for level in levels])
+            at, found, held = [], [], 0
+
+
+def calibrated(model: Model, documents: DataFrame, held: DataFrame) -> Model:
+    """Set the score of a sentence, by subject, where the labels of ``held`` (doc_id, names) fit best.
+
+    For each level the documents are counted that are found, labelled, and both; a subject's own counts and the mean of all
+    subjects' weigh the same, so that a subject of few labels follows the others.
+    """
+    spark, names = documents.sparkSession, model.subjects
+    if not names:
+        return model
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            truth = np.array([np.isin(names, list(x)) for x in b["names"]], bool).reshape(len(b), len(names))
+            levels = [np.full(len(names), level) for level in LEVELS]
+            for at, share in _shares(sent.value, b["text"].tolist(), levels):
+                hit, true = share >= PART - 1e-9, truth[at]
+                yield pd.DataFrame([(i, j, int((hit[i, :, j] & true[:, j]).sum()), int(hit[i, :, j].sum() + true[:, j].sum())) for i in range(len(LEVELS)) for j in range(len(names))], columns=["i", "j", "both", "either"])
+
+    text = documents.select("doc_id", "text").where("text is not null").dropDuplicates(["doc_id"]).join(held.select("doc_id", "names"), "doc_id").select("text", "names")
+    counted = text.mapInPandas(run, "i int, j int, both long, either long").groupBy("i", "j").agg(F.sum("both").alias("both"), F.sum("either").alias("either")).collect()
+    both, either = np.zeros((2, len(LEVELS), len(names)))
+    for r in counted:
+        both[r.i, r.j], either[r.i, r.j] = r.both, r.either
+    fits = 2 * (both + both.mean(axis=1, keepdims=True)) / np.maximum(1, either + either.mean(axis=1, keepdims=True))
+    middle = np.abs(np.array(LEVELS) - 0.5)
+    for j in range(len(names)):
+        model.level[j] = LEVELS[max(range(len(LEVELS)), key=lambda i: (round(fits[i, j], 6), -middle[i]))]  # noqa: B023
+    return model
+
+
+def fitted(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model:
+    """A calibrated model from tables: documents (doc_id, text; repository_url, source and doc_kind if there are any),
+    labels (doc_id, subject) and subjects (subject, title, description). Other columns are ignored; without labels the
+    subjects' own words are all that is known."""
+    spark = documents.sparkSession
+    told = staged(hand_labels(labels, subjects))
+    own = {r.subject: f"{r.title or ''}. {r.description or ''}" for r in subjects.where("subject is not null").groupBy(F.lower(F.trim("subject"))).agg(F.min(F.struct("subject", "title", "description")).alias("s")).select("s.*").orderBy("subject").collect()}
+    found = evidence(documents, told.where("not held"))
+    sample = _drawn(documents, told.where("not held")) + _drawn(documents, metadata_labels(documents, found, told))
+    return calibrated(train(spark, sample, list(own), own), documents, told.where("held"))
 
 
 def _judge(broadcast):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Model = broadcast.value
-        known: dict[str, np.ndarray] = {}
+        names = np.array(model.subjects, object)
         for b in batches:
-            ids, found, shares = [], [], []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                sents = sentences(text)
-                if not sents:
-                    continue
-                share = model.shares([features(w) for w in sents])
-                for j in np.flatnonzero(share >= model.part - 1e-9):
-                    ids.append(doc)
-                    found.append(model.subjects[j])
-                    shares.append(share[j])
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "subject": np.array(found, object), "share": np.array(shares, float)})
+            ids = b["doc_id"].to_numpy()
+            for at, (share,) in _shares(model, b["text"].tolist(), [model.level]):
+                row, j = np.nonzero(share >= PART - 1e-9)
+                yield pd.DataFrame({"doc_id": ids[at[row]], "subject": names[j], "share": share[row, j]})
 
     return run
 
