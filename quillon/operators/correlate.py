@@ -2,7 +2,10 @@
 
 Order is the column ``ord``; findings that share it are told apart by ``id``. The fold keeps a primary for each group
 and replaces it when a later finding is strictly higher in (severity weight, confidence). A displaced primary joins the
-duplicates at the moment it is displaced. All of it is expressed with running windows over one hash partitioning.
+duplicates at the moment it is displaced. All of it is expressed with running windows.
+
+No task holds a whole group. Rows are parted by ranges of (group, position), windows run within a part, and what a part has
+to know of the others is added: only its first and its last group can lie in other parts too, so that is two rows a part.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from quillon.functions.fingerprint import finding_fingerprint
 from quillon.functions.text import or_empty
 from quillon.schema import severity_weight
+from quillon.session import staged
 
 GROUP = ("scan_id", "group_fingerprint")
 
@@ -44,29 +48,60 @@ def accepted(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("problem is null").drop("problem"), marked.where("problem is not null").select("scan_id", "id", "problem")
 
 
+def _parted(rows: DataFrame, keys: tuple[str, ...], *order: Column | str) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``part``, their range of (keys, order), and those of the first and last group of each part."""
+    placed = staged(rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()))
+    ends = placed.groupBy("part").agg(F.min(F.struct(*keys)).alias("a"), F.max(F.struct(*keys)).alias("b"))
+    edges = ends.select("part", F.explode(F.array_distinct(F.array("a", "b"))).alias("key")).select("part", "key.*")
+    return placed, _beside(placed, edges, keys, "left_semi")
+
+
+def _beside(rows: DataFrame, edges: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+    """Join what is known of the groups at the ends of parts: two rows a part, so it can be broadcast."""
+    renamed = edges.select(*(F.col(c).alias(f"e_{c}" if c in ("part", *keys) else c) for c in edges.columns))
+    same = F.col("part") == F.col("e_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"e_{k}"))
+    return rows.join(F.broadcast(renamed), same, how).drop("e_part", *(f"e_{k}" for k in keys))
+
+
 def members(findings: DataFrame) -> DataFrame:
     """One row per finding with its part in its group.
 
     Adds group_fingerprint, role ('primary' or 'duplicate'), push_position (the order of the duplicates), source_first
-    (the finding brought a new source) and first_position of the group. One shuffle on (scan_id, group_fingerprint)
-    serves all windows; the flat form can spill where a nested list could not. Empty input gives no rows.
+    (the finding brought a new source) and first_position of the group. Empty input gives no rows.
     """
-    group = Window.partitionBy(*GROUP)
+    level = F.struct("weight", "confidence")
+    placed, ends = _parted(prepared(findings), GROUP, "position")
+    across = Window.partitionBy(*GROUP).orderBy("part")
+    before, behind = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (across, Window.partitionBy(*GROUP).orderBy(F.desc("part"))))
+    known = ends.groupBy("part", *GROUP).agg(F.max(level).alias("top"), F.min("position").alias("first"))
+    known = known.select("part", *GROUP, F.max("top").over(before).alias("top_before"), F.min("first").over(Window.partitionBy(*GROUP)).alias("group_first"))
+    records = _beside(ends, known, GROUP, "inner").where(F.col("top_before").isNull() | (level > F.col("top_before"))).groupBy("part", *GROUP).agg(F.min("position").alias("record"))
+    records = _beside(known, records, GROUP, "left").select("part", *GROUP, "top_before", "group_first", F.min("record").over(behind).alias("record_behind"))
+    first_part = F.min("part").over(Window.partitionBy(*GROUP, "source_key"))
+    seen = ends.select("part", *GROUP, "source_key").distinct().withColumn("first_part", first_part).where("first_part < part").withColumnRenamed("source_key", "s_key").withColumn("seen", F.lit(True))
+    again = seen.select(F.col("part").alias("s_part"), *(F.col(k).alias(f"s_{k}") for k in GROUP), "s_key", "seen")
+    same = (F.col("part") == F.col("s_part")) & (F.col("source_key") == F.col("s_key"))
+    for k in GROUP:
+        same = same & F.col(k).eqNullSafe(F.col(f"s_{k}"))
+
+    group = Window.partitionBy("part", *GROUP)
     forward = group.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     # the same as a frame over the following rows, which would be quadratic
     backward = group.orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, -1)
-    source = Window.partitionBy(*GROUP, "source_key").orderBy("position")
-    level = F.struct("weight", "confidence")
-    best: Column = F.max(level).over(forward)
+    source = Window.partitionBy("part", *GROUP, "source_key").orderBy("position")
+    best: Column = F.greatest(F.max(level).over(forward), F.col("top_before"))
     return (
-        prepared(findings)
+        _beside(placed, records, GROUP, "left")
+        .join(again, same, "left")
         .withColumn("is_record", best.isNull() | (level > best))
-        .withColumn("next_record", F.min(F.when(F.col("is_record"), F.col("position"))).over(backward))
-        .withColumn("first_position", F.min("position").over(group))
-        .withColumn("source_first", F.row_number().over(source) == 1)
+        .withColumn("next_record", F.coalesce(F.min(F.when(F.col("is_record"), F.col("position"))).over(backward), F.col("record_behind")))
+        .withColumn("first_position", F.coalesce(F.col("group_first"), F.min("position").over(group)))
+        .withColumn("source_first", (F.row_number().over(source) == 1) & F.col("seen").isNull())
         .withColumn("role", F.when(F.col("is_record") & F.col("next_record").isNull(), F.lit("primary")).otherwise(F.lit("duplicate")))
         .withColumn("push_position", F.when(F.col("is_record"), F.col("next_record")).otherwise(F.col("position")))
-        .drop("is_record", "next_record")
+        .drop("part", "is_record", "next_record", "top_before", "group_first", "record_behind", "seen", "s_part", "s_key", *(f"s_{k}" for k in GROUP))
     )
 
 
@@ -136,11 +171,15 @@ def ranked(groups: DataFrame) -> DataFrame:
 
 
 def group_rank(groups: DataFrame) -> DataFrame:
-    """Add group_rank (from 1), the place ``ranked`` gives each group within its scan."""
-    order = Window.partitionBy("scan_id").orderBy(
-        severity_weight(F.col("primary.severity")).desc(), F.col("primary.confidence").desc(), "first_position"
-    )
-    return groups.withColumn("group_rank", F.row_number().over(order))
+    """Add group_rank (from 1), the place ``ranked`` gives each group within its scan. No task ranks a whole scan: a rank is
+    the place within a part plus the groups of the scan in the parts before."""
+    order = (-severity_weight(F.col("primary.severity"))).alias("w"), (-F.col("primary.confidence")).alias("c")
+    keyed = groups.select("*", F.struct(*order, F.col("first_position").alias("p")).alias("rank_key"))
+    placed, ends = _parted(keyed, ("scan_id",), "rank_key")
+    before = Window.partitionBy("scan_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = ends.groupBy("part", "scan_id").agg(F.count("*").alias("n")).select("part", "scan_id", F.sum("n").over(before).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("part", "scan_id").orderBy("rank_key"))
+    return _beside(placed, offset, ("scan_id",), "left").withColumn("group_rank", (place + F.coalesce("offset", F.lit(0))).cast("bigint")).drop("part", "rank_key", "offset")
 
 
 def counts(findings: DataFrame) -> DataFrame:

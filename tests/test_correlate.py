@@ -116,8 +116,19 @@ def test_ingest_guard(spark):
     assert [r.id for r in good.collect()] == ["0"] and bad.count() == 5
 
 
-def test_plan_has_one_exchange_for_the_windows(spark):
-    rows = [finding(i, title=str(i % 3)) for i in range(50)]
-    df = correlate.members(frame(spark, rows))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning(scan_id") <= 2  # one without, one with the source key
+def test_groups_over_many_parts(spark):
+    # two groups over eight ranges, so each has parts without its first record, its last one, or a new source
+    rng = random.Random(3)
+    rows = [finding(i, title=rng.choice("AB"), severity=rng.choice(["low", "high", "critical"]), confidence=rng.randrange(0, 1 + i // 3) / 200, scanner={"name": f"n{rng.randrange(1 + i // 40)}", "version": None, "rule_id": "r"}) for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed, ends = correlate._parted(correlate.prepared(frame(spark, rows)), correlate.GROUP, "position")
+        assert placed.select("part").distinct().count() > 4 and ends.count() == len(rows)
+        assert nested(spark, rows) == model(rows)
+        many = [finding(i, title=str(i), confidence=rng.randrange(9) / 9, scan_id=rng.choice("aaab")) for i in range(300)]
+        ranks = correlate.group_rank(correlate.summary(frame(spark, many))).collect()
+        for scan in "ab":
+            mine = sorted((r for r in ranks if r.scan_id == scan), key=lambda r: (-r.primary.confidence, r.first_position))
+            assert [r.group_rank for r in mine] == list(range(1, len(mine) + 1))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
