@@ -45,53 +45,73 @@ REFITS, STEPS = 2, 30
 _TAG = re.compile(r"<[^<>]{1,80}>")
 _FENCE = re.compile(r"```.*?```", re.S)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_SPLIT = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
+_END = r"[.!?](?=\s)|[\r\n]+"
+_TOKEN = re.compile(rf"{_WORD.pattern}|{_END}")
 _NOISE = re.compile(r"\S{60,}")
 
 _HASHES: dict[str, int] = {}
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """The sentences of a text as lists of words in lower case. Markup, fenced logs, long blobs and lines of fewer than
-    three words are left out."""
-    if not text:
-        return []
-    plain = _NOISE.sub(" ", _TAG.sub(" ", _FENCE.sub("\n", text)))
-    found = map(_WORD.findall, _SPLIT.split(plain.lower()))
-    return [w for w in found if len(w) >= 3]
+def _plain(text: str | None) -> str:
+    """A text in lower case without markup, fenced logs and long blobs; the line break behind it ends its last sentence."""
+    return _NOISE.sub(" ", _TAG.sub(" ", _FENCE.sub("\n", text or ""))).lower() + "\n"
 
 
-def _hash(word: str) -> int:
-    """A word's hash, kept; a plural s doesn't tell words apart."""
-    h = _HASHES.get(word)
+def _hash(token: str) -> int:
+    """A word's hash, kept, or -1 for what ends a sentence. A plural s doesn't tell words apart."""
+    h = _HASHES.get(token)
     if h is None:
         if len(_HASHES) >= 1 << 20:
             _HASHES.clear()
-        h = _HASHES[word] = zlib.crc32((word[:-1] if len(word) > 3 and word.endswith("s") else word).encode())
+        h = _HASHES[token] = zlib.crc32((token[:-1] if len(token) > 3 and token.endswith("s") else token).encode()) if token[0].isalpha() else -1
     return h
 
 
+def sentences(text: str | None) -> list[list[str]]:
+    """The sentences of a text as lists of words in lower case; those of fewer than three words are left out."""
+    found: list[list[str]] = [[]]
+    for token in _TOKEN.findall(_plain(text)):
+        if token[0].isalpha():
+            found[-1].append(token)
+        elif found[-1]:
+            found.append([])
+    return [w for w in found if len(w) >= 3]
+
+
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``sentences`` of many texts at once: the hashed words of all of them, how many each sentence has, and its text."""
+    tokens = [_TOKEN.findall(_plain(t)) for t in texts]
+    ids = np.fromiter((_hash(x) for own in tokens for x in own), np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, tokens), np.int64, len(texts)))
+    word = ids >= 0
+    sentence = np.cumsum(~word)[word]
+    long = np.bincount(sentence, minlength=1) >= 3
+    keep = long[sentence]
+    words, sentence = ids[word][keep], sentence[keep]
+    first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]]) if len(words) else np.zeros(0, np.int64)
+    return words, np.diff(np.r_[first, len(words)]), owner[word][keep][first]
+
+
 @dataclass
 class Features:
-    """The hashed words and word pairs of sentences, each once a sentence: where in the weights, where each sentence starts
-    and how many it has."""
+    """The hashed words and word pairs of sentences: where in the weights, where each sentence starts and how many it has."""
 
     at: np.ndarray
     start: np.ndarray
     size: np.ndarray
 
     @staticmethod
-    def of(found: list[list[str]]) -> Features:
-        """All sentences at once. None may be empty."""
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        words = np.fromiter((_hash(w) for s in found for w in s), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(found)), sizes)
-        inside = owner[1:] == owner[:-1]
-        pairs = (words[:-1] * 1_000_003 ^ words[1:])[inside]
-        grams = np.r_[words, pairs]
-        key = np.unique(np.r_[owner, owner[:-1][inside]] * WEIGHTS + ((grams ^ (grams >> 17)) & (WEIGHTS - 1)))
-        size = np.bincount(key // WEIGHTS, minlength=len(found))
-        return Features(key % WEIGHTS, np.r_[0, np.cumsum(size)[:-1]], size)
+    def of(words: np.ndarray, sizes: np.ndarray) -> Features:
+        """All sentences at once, of hashed words. None may be empty."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        begin = np.r_[0, np.cumsum(sizes)[:-1]]
+        start = 2 * begin - np.arange(len(sizes))
+        place = np.arange(len(words)) + (start - begin)[owner]
+        inside = np.flatnonzero(owner[1:] == owner[:-1]) if len(words) else np.zeros(0, np.int64)
+        grams = np.empty(max(0, 2 * len(words) - len(sizes)), np.int64)
+        grams[place] = words
+        grams[place[inside] + sizes[owner[inside]]] = words[inside] * 1_000_003 ^ words[inside + 1]
+        return Features((grams ^ (grams >> 17)) & (WEIGHTS - 1), start, 2 * sizes - 1)
 
 
 def _probability(z: np.ndarray) -> np.ndarray:
@@ -105,9 +125,8 @@ class Model:
     bias: np.ndarray
     level: np.ndarray = field(default_factory=lambda: np.zeros(0))  # score of a sentence, by subject
 
-    def scores(self, found: list[list[str]]) -> np.ndarray:
+    def scores(self, f: Features) -> np.ndarray:
         """The probability of each subject for each sentence."""
-        f = Features.of(found)
         return _probability(np.add.reduceat(self.weights[f.at], f.start, axis=0) / np.sqrt(f.size)[:, None] + self.bias)
 
 
@@ -131,7 +150,9 @@ class Sample:
             owner += [i] * sum(1 for w in found if w)
             labels.append(np.isin(np.arange(len(subjects)), [number[n] for n in names if n in number]))
         owner_of = np.array(owner, np.int64)
-        return Sample(Features.of([k.split(" ") for k in known]), np.array(occurrence, np.int64), np.array(labels, bool).reshape(-1, len(subjects))[owner_of], owner_of >= len(labelled))
+        listed = [k.split(" ") for k in known]
+        words = np.fromiter((_hash(w) for own in listed for w in own), np.int64)
+        return Sample(Features.of(words, np.fromiter(map(len, listed), np.int64, len(listed))), np.array(occurrence, np.int64), np.array(labels, bool).reshape(-1, len(subjects))[owner_of], owner_of >= len(labelled))
 
 
 def _fit(sample: Sample, j: int, pull: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
@@ -248,19 +269,17 @@ def _drawn(documents: DataFrame, labelled: DataFrame) -> list[tuple[str, set[str
 
 def _shares(model: Model, texts: list[str | None], levels: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For parts of the texts that have sentences: their places, and by level the share of sentences of each subject."""
-    at, found, held = [], [], 0
-    for i, text in enumerate([*texts, None]):
-        own = sentences(text)
-        if own:
-            at.append(i)
-            found.append(own)
-            held += len(text)
-        if at and (held > 2_000_000 or i == len(texts)):  # bounded, however long the texts of a batch are
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            score = model.scores([s for own in found for s in own])
-            starts = np.r_[0, np.cumsum(sizes)[:-1]]
-            yield np.array(at), np.array([np.add.reduceat(score >= level, starts, axis=0, dtype=np.int64) / sizes[:, None] for level in levels])
-            at, found, held = [], [], 0
+    begin, held = 0, 0
+    for i, text in enumerate(texts, 1):
+        held += len(text or "")
+        if held > 2_000_000 or i == len(texts):  # bounded, however long the texts of a batch are
+            words, sizes, owner = hashed(texts[begin:i])
+            if len(sizes):
+                score = model.scores(Features.of(words, sizes))
+                starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                count = np.diff(np.r_[starts, len(owner)])[:, None]
+                yield owner[starts] + begin, np.array([np.add.reduceat(score >= level, starts, axis=0, dtype=np.int64) / count for level in levels])
+            begin, held = i, 0
 
 
 def calibrated(model: Model, documents: DataFrame, held: DataFrame) -> Model:

@@ -32,9 +32,17 @@ def test_sentences():
 
 
 def test_features():
-    one = subjects.Features.of([["a", "b", "a", "b"], ["a"], ["keys", "key"]])
-    assert one.size.tolist() == [4, 1, 2] and one.start.tolist() == [0, 4, 5]  # a, b, "a b", "b a"; a; key, "key key"
-    assert np.array_equal(subjects.Features.of([["a"]]).at, one.at[4:5])
+    texts = [None, "", "404. x", "The keys are here. Two words.\nA key is there! And don't stop at 3.5 or so", "?? 12", "Das Tor fiel früh"]
+    words, sizes, owner = subjects.hashed(texts)
+    listed = [(i, s) for i, t in enumerate(texts) for s in subjects.sentences(t)]
+    assert [len(s) for _, s in listed] == sizes.tolist() == [4, 4, 6, 4] and owner.tolist() == [i for i, _ in listed] == [3, 3, 3, 5]
+    assert words.tolist() == [subjects._hash(w) for _, s in listed for w in s]
+    f = subjects.Features.of(words, sizes)
+    assert f.size.tolist() == [7, 7, 11, 7] and f.start.tolist() == [0, 7, 14, 25] and len(f.at) == 32
+    assert len(set(f.at[:7])) == 7 and f.at[1] == f.at[8]  # keys and key
+    alone = subjects.Features.of(words[8:14], sizes[2:3])
+    assert np.array_equal(alone.at, f.at[14:25])
+    assert len(subjects.Features.of(*subjects.hashed([None])[:2]).at) == 0
 
 
 SPORT = ("The striker scored a goal. The coach praised the striker.", {"sport"})
