@@ -233,7 +233,7 @@ def _metadata(documents: DataFrame) -> DataFrame:
 def evidence(documents: DataFrame, told: DataFrame) -> DataFrame:
     """token, subject, documents, share: the pieces of metadata of which at least ``EVIDENCE`` of the documents have one
     subject. ``told`` are the hand labels to count (doc_id, names)."""
-    tokens = _metadata(documents).join(told.select("doc_id", "names"), "doc_id")
+    tokens = _metadata(documents.join(told.select("doc_id"), "doc_id", "left_semi")).join(told.select("doc_id", "names"), "doc_id")
     total = tokens.groupBy("token").agg(F.count("*").alias("documents"))
     of = tokens.select("token", F.explode("names").alias("subject")).groupBy("token", "subject").agg(F.count("*").alias("k"))
     n, p, z = F.col("documents"), F.col("k") / F.col("documents"), 1.96
@@ -243,24 +243,24 @@ def evidence(documents: DataFrame, told: DataFrame) -> DataFrame:
 
 def metadata_labels(documents: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
     """doc_id, names: the documents without hand label that carry a piece of ``evidence``, with its subjects."""
-    tokens = _metadata(documents).join(told.select("doc_id"), "doc_id", "left_anti")
+    tokens = _metadata(documents.join(told.select("doc_id"), "doc_id", "left_anti"))
     return tokens.join(found.select("token", "subject"), "token").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("names"))
 
 
 def _drawn(documents: DataFrame, labelled: DataFrame) -> list[tuple[str, set[str]]]:
     """The texts and subjects of the sample: the first by a hash of doc_id, up to ``LABELLED`` and ``CHARACTERS``."""
-    text = documents.select("doc_id", "text").where("text is not null and doc_id is not null").dropDuplicates(["doc_id"])
-    hashed = staged(text.join(labelled.select("doc_id", "names"), "doc_id").withColumn("h", F.xxhash64("doc_id")))
-    sizes = hashed.select("h", "doc_id", F.length("text").alias("n")).orderBy("h", "doc_id").limit(LABELLED).collect()
-    held, last = 0, None
+    text = documents.select("doc_id", "text").where("text is not null")
+    held = staged(text.join(labelled.select("doc_id", "names"), "doc_id").dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id")))
+    sizes = held.select("h", "doc_id", F.length("text").alias("n")).orderBy("h", "doc_id").limit(LABELLED).collect()
+    total, last = 0, None
     for r in sizes:
-        held += r.n
-        if last is not None and held > CHARACTERS:
+        total += r.n
+        if last is not None and total > CHARACTERS:
             break
         last = r
     if last is None:
         return []
-    rows = hashed.where((F.col("h") < last.h) | ((F.col("h") == last.h) & (F.col("doc_id") <= last.doc_id)))
+    rows = held.where((F.col("h") < last.h) | ((F.col("h") == last.h) & (F.col("doc_id") <= last.doc_id)))
     return [(r.text, set(r.names)) for r in sorted(rows.toLocalIterator(), key=lambda r: (r.h, r.doc_id))]
 
 
@@ -301,7 +301,7 @@ def calibrated(model: Model, documents: DataFrame, held: DataFrame) -> Model:
                 hit, true = share >= PART - 1e-9, truth[at]
                 yield pd.DataFrame([(i, j, int((hit[i, :, j] & true[:, j]).sum()), int(hit[i, :, j].sum() + true[:, j].sum())) for i in range(len(LEVELS)) for j in range(len(names))], columns=["i", "j", "both", "either"])
 
-    text = documents.select("doc_id", "text").where("text is not null").dropDuplicates(["doc_id"]).join(held.select("doc_id", "names"), "doc_id").select("text", "names")
+    text = documents.select("doc_id", "text").where("text is not null").join(held.select("doc_id", "names"), "doc_id").dropDuplicates(["doc_id"]).select("text", "names")
     counted = text.mapInPandas(run, "i int, j int, both long, either long").groupBy("i", "j").agg(F.sum("both").alias("both"), F.sum("either").alias("either")).collect()
     both, either = np.zeros((2, len(LEVELS), len(names)))
     for r in counted:
@@ -320,8 +320,10 @@ def fitted(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> Mode
     spark = documents.sparkSession
     told = staged(hand_labels(labels, subjects))
     own = {r.subject: f"{r.title or ''}. {r.description or ''}" for r in subjects.where("subject is not null").groupBy(F.lower(F.trim("subject"))).agg(F.min(F.struct("subject", "title", "description")).alias("s")).select("s.*").orderBy("subject").collect()}
-    found = evidence(documents, told.where("not held"))
-    sample = _drawn(documents, told.where("not held")) + _drawn(documents, metadata_labels(documents, found, told))
+    found = staged(evidence(documents, told.where("not held")))
+    sample = _drawn(documents, told.where("not held"))
+    if not found.isEmpty():
+        sample += _drawn(documents, metadata_labels(documents, found, told))
     return calibrated(train(spark, sample, list(own), own), documents, told.where("held"))
 
 
