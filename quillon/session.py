@@ -50,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
     """This application's folder in the shared one, deleted when its Python ends."""
     name = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/quillon-{name}"
@@ -76,6 +76,6 @@ def staged(df: DataFrame, *by: str) -> DataFrame:
     on the result is broadcast only where the written size allows it. The table is deleted when the session's Python ends.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/staged-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

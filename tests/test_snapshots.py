@@ -1,6 +1,7 @@
 """Snapshot changes against comparing whole snapshots."""
 
 import random
+import shutil
 from datetime import datetime, timedelta
 
 from quillon.operators import snapshots
@@ -74,3 +75,44 @@ def test_random_depths(spark):
             want += [(f"s{i:03d}", f, "changed") for f in state.keys() & before.keys() if state[f] != before[f]]
     for per_leaf in (1, 8, 1000):
         assert run(spark, scans, rows, rows_per_leaf=per_leaf) == sorted(want)
+
+
+def test_deliveries(spark, tmp_path):
+    rng = random.Random(8)
+    scans, rows = [], []
+    for i in range(1, 10):
+        scans.append(scan(i, branch=("main", "dev", None)[i % 3]))
+        rows += [row(i, f"f{k}", title=rng.choice("xyyy")) for k in range(rng.randrange(40, 90)) if rng.random() < 0.9]
+    want = run(spark, scans, rows)
+    history = snapshots.SnapshotHistory(spark, str(tmp_path / "h"), rows_per_leaf=4)
+    frames = lambda low, high: (spark.createDataFrame([s for s in scans if low <= int(s[0][1:]) <= high], SCANS), spark.createDataFrame([r for r in rows if low <= int(r[0][1:]) <= high], ROWS))
+    got = []
+    for low, high in ((1, 3), (4, 6), (7, 9)):
+        if low == 7:  # the third delivery follows snapshots of the second only: no row of the first is needed
+            shutil.rmtree(tmp_path / "h" / "rows" / "delivery=0")
+        found = history.deliver(*frames(low, high))
+        got += [(r.scan_id, r.fingerprint, r.kind) for r in found.collect()]
+    assert len(want) > 100 and sorted(got) == want
+    assert history.deliver(*frames(7, 9)).count() == 0  # delivered again
+
+
+def test_late_header_and_rescan(spark, tmp_path):
+    history = snapshots.SnapshotHistory(spark, str(tmp_path / "h"))
+    frame = lambda data, ddl: spark.createDataFrame(data, ddl)
+    told = lambda df: sorted((r.scan_id, r.fingerprint, r.kind) for r in df.collect())
+    sha = "cd" * 20
+    assert told(history.deliver(frame([scan(1), scan(4, sha=sha)], SCANS), frame([row(1, "a"), row(3, "c"), row(4, "b")], ROWS))) == [("s004", "a", "removed"), ("s004", "b", "added")]
+    assert told(history.deliver(frame([scan(3)], SCANS), frame([], ROWS))) == [("s003", "a", "removed"), ("s003", "c", "added"), ("s004", "b", "added"), ("s004", "c", "removed")]
+    assert told(history.deliver(frame([scan(5, sha=sha)], SCANS), frame([row(5, "c")], ROWS))) == []
+
+
+def test_failed_delivery(spark, tmp_path, monkeypatch):
+    history = snapshots.SnapshotHistory(spark, str(tmp_path / "h"))
+    frames = spark.createDataFrame([scan(1), scan(2)], SCANS), spark.createDataFrame([row(1, "a"), row(2, "b")], ROWS)
+    with monkeypatch.context() as m:
+        m.setattr(history, "_commit", lambda number: 1 / 0)
+        try:
+            history.deliver(*frames)
+        except ZeroDivisionError:
+            pass
+    assert history.deliver(*frames).count() == 2
