@@ -1,4 +1,4 @@
-"""Command line: ``doctor``, ``scan <path> [--json]``, ``help``."""
+"""Command line: ``doctor``, ``scan FOLDER [--json]``, ``help``."""
 
 from __future__ import annotations
 
@@ -13,13 +13,9 @@ from quillon.session import configure, staged
 from quillon.sources.registry import ScannerAdapter, availability_rows, built_in_scanners, run_scanners
 from quillon.sources.reports import checked_target
 
-HELP = """Usage:
-  quillon doctor
-  quillon scan <path> [--json]
-
-Commands:
-  doctor   Show which scanners are available.
-  scan     Scan a local folder with all available scanners.
+HELP = """quillon doctor                 list the scanners and whether they can run
+quillon scan FOLDER [--json]   run every scanner that can on FOLDER; print the findings as text or JSON
+quillon help                   this text
 """
 
 
@@ -28,7 +24,7 @@ def _session() -> SparkSession:
 
 
 def doctor(scanners: list[ScannerAdapter]) -> None:
-    print("Scanner availability\n")
+    print("Scanners:\n")
     for row in report.availability_lines(availability_rows(_session(), scanners)).toLocalIterator():
         print(row.line)
 
@@ -42,13 +38,15 @@ def scan(arguments: list[str], scanners: list[ScannerAdapter]) -> None:
         status = scanner.check_availability()
         if status.available:
             available.append(scanner)
-            say(f"Running {scanner.display_name}...")
+            say(f"{scanner.display_name}: scanning {target}")
         else:
-            say(f"Skipping {scanner.display_name}: {status.reason or 'not installed'}")
+            say(f"{scanner.display_name}: left out, {status.reason or 'it is missing'}")
     if not available:
-        raise RuntimeError("No supported scanner is available. Run `quillon doctor` for details.")
+        raise RuntimeError("none of the scanners can run; see quillon doctor")
     spark = _session()
-    reports, _ = run_scanners(spark, available, target)
+    reports, headers = run_scanners(spark, available, target)
+    for header in report.header_lines(headers).toLocalIterator():
+        say(f"{header.scanner}: from {header.started}, {header.diagnostics} diagnostic(s)")
     found = staged(findings(reports, strict=True))
     groups = staged(correlated(found))
     raw = found.count()
@@ -75,7 +73,7 @@ def main(arguments: list[str], scanners: list[ScannerAdapter] | None = None) ->
             print(HELP)
             return 0 if command in ("help", "--help", "-h") else 1
     except Exception as error:  # noqa: BLE001
-        print(f"quillon error: {error}", file=sys.stderr)
+        print(f"failed: {error}", file=sys.stderr)
         return 1
     return 0
 

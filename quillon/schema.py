@@ -6,15 +6,6 @@ from pyspark.sql import functions as F
 #: Severities and their weights.
 SEVERITY_WEIGHTS = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1, "unknown": 0}
 
-#: Finding categories.
-CATEGORIES = (
-    "sast", "dependency", "secret", "misconfiguration", "iac", "container", "supply-chain", "repository-posture",
-    "license", "other",
-)
-
-#: Scanner capabilities.
-CAPABILITIES = ("sast", "dependency", "secret", "iac", "container", "sbom", "repository-posture")
-
 ORD = "struct<scanner_seq:int,result_pos:int,class_rank:int,item_pos:int>"
 SCANNER = "struct<name:string,version:string,rule_id:string>"
 LOCATION = "struct<path:string,start_line:bigint,end_line:bigint,start_column:bigint,end_column:bigint>"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -9,6 +10,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.schema import scan_ddl
 from quillon.sources.process import ProcessOutput, run_process
 
 Runner = Callable[..., ProcessOutput]
@@ -18,6 +20,7 @@ PROBE_TIMEOUT_S = 10
 SCAN_TIMEOUT_S = 600
 SCAN_ARGUMENTS = ("fs", "--format", "json", "--scanners", "vuln,secret,misconfig")
 PROBE_FAILED = "Trivy returned a non-zero exit code."
+CAPABILITIES_OF_BUILT_IN = ("dependency", "secret", "iac", "container")
 
 
 @dataclass(frozen=True)
@@ -46,7 +49,7 @@ class ScannerAdapter(Protocol):
 
     def check_availability(self) -> Availability: ...
 
-    def scan(self, target: str, timeout_s: float | None = None) -> RawScan: ...
+    def scan(self, target: str, timeout_s: float | None = None, cancel: threading.Event | None = None) -> RawScan: ...
 
 
 @dataclass
@@ -55,28 +58,31 @@ class CommandScanner:
 
     id: str = "trivy"
     display_name: str = "Trivy"
-    capabilities: tuple[str, ...] = ("dependency", "secret", "iac", "container")
+    capabilities: tuple[str, ...] = CAPABILITIES_OF_BUILT_IN
     command: str = "trivy"
     run: Runner = run_process
 
+    def _said(self, arguments: list[str], timeout_s: float, **more: object) -> tuple[ProcessOutput, str]:
+        """What the command printed, and its trimmed complaint."""
+        output = self.run(self.command, arguments, timeout_s=timeout_s, **{k: v for k, v in more.items() if v is not None})
+        return output, output.stderr.strip()
+
     def check_availability(self) -> Availability:
         """Ask for the version. All trimmed output counts as the version."""
         try:
-            output = self.run(self.command, ["--version"], timeout_s=PROBE_TIMEOUT_S)
+            output, complaint = self._said(["--version"], PROBE_TIMEOUT_S)
         except OSError as error:
             return Availability(False, reason=str(error))
-        if output.exit_code != 0:
-            return Availability(False, reason=output.stderr.strip() or PROBE_FAILED)
-        return Availability(True, version=output.stdout.strip())
+        good = output.exit_code == 0
+        return Availability(good, output.stdout.strip() if good else None, None if good else complaint or PROBE_FAILED)
 
-    def scan(self, target: str, timeout_s: float | None = None) -> RawScan:
-        """Scan a folder; a non-zero exit raises RuntimeError."""
+    def scan(self, target: str, timeout_s: float | None = None, cancel: threading.Event | None = None) -> RawScan:
+        """Scan a folder; a non-zero exit raises RuntimeError. ``cancel`` ends it early, which counts as such an exit."""
         started = datetime.now(UTC)
-        output = self.run(self.command, [*SCAN_ARGUMENTS, target], timeout_s=SCAN_TIMEOUT_S if timeout_s is None else timeout_s)
+        output, complaint = self._said([*SCAN_ARGUMENTS, target], SCAN_TIMEOUT_S if timeout_s is None else timeout_s, cancel=cancel)
         if output.exit_code != 0:
-            raise RuntimeError(f"{self.display_name} scan failed ({output.exit_code}): {output.stderr.strip()}")
-        said = output.stderr.strip()
-        return RawScan(self.id, started, datetime.now(UTC), target, output.stdout, [said] if said else [])
+            raise RuntimeError(f"{self.id} ended with exit code {output.exit_code} on {target}: {complaint}")
+        return RawScan(self.id, started, datetime.now(UTC), target, output.stdout, [complaint] if complaint else [])
 
 
 def built_in_scanners() -> list[ScannerAdapter]:
@@ -90,14 +96,13 @@ def availability_rows(spark: SparkSession, scanners: list[ScannerAdapter]) -> Da
     return spark.createDataFrame(rows, "scanner_seq int, id string, display_name string, available boolean, version string, reason string")
 
 
-def run_scanners(spark: SparkSession, scanners: list[ScannerAdapter], target: str) -> tuple[DataFrame, DataFrame]:
+def run_scanners(spark: SparkSession, scanners: list[ScannerAdapter], target: str, timeout_s: float | None = None, cancel: threading.Event | None = None) -> tuple[DataFrame, DataFrame]:
     """Run all in series: reports (scan_id, scanner_seq, raw) and headers in the scan schema. Any failure ends the scan."""
-    done = [s.scan(target) for s in scanners]
+    done = [s.scan(target, timeout_s, cancel) for s in scanners]
     scan_id = f"{target}@{done[0].started_at.isoformat()}" if done else target
     reports = spark.createDataFrame([(scan_id, i, r.raw) for i, r in enumerate(done)], "scan_id string, scanner_seq int, raw string")
     headers = spark.createDataFrame(
-        [(scan_id, i, r.scanner, r.started_at, r.completed_at, (r.target, None, None, None), r.diagnostics) for i, r in enumerate(done)],
-        "scan_id string, scanner_seq int, scanner string, started_at timestamp, completed_at timestamp, "
-        "target struct<path:string,repository_url:string,commit_sha:string,branch:string>, diagnostics array<string>",
+        [(i, scan_id, r.scanner, r.started_at, r.completed_at, (r.target, None, None, None), r.diagnostics) for i, r in enumerate(done)],
+        f"scanner_seq int, {scan_ddl()}",
     )
     return reports, headers

@@ -30,8 +30,8 @@ def in_memory(spark: SparkSession, rows: Iterable[Row | tuple | dict]) -> DataFr
 def checked_target(argument: str | None) -> str:
     """The absolute path of a scan target; raises ValueError if it is missing or no folder. Links are followed."""
     if not argument or argument.startswith("--"):
-        raise ValueError("Usage: quillon scan <path> [--json]")
+        raise ValueError("name the folder to scan: quillon scan FOLDER [--json]")
     path = os.path.abspath(argument)
     if not os.path.isdir(path):
-        raise ValueError(f"Scan target is not a directory: {path}")
+        raise ValueError(f"{path} is no folder")
     return path

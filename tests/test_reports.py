@@ -2,6 +2,8 @@
 
 import json
 import sys
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,13 +113,20 @@ def test_process():
     assert run_process(sys.executable, ["-c", "import time; time.sleep(30)"], timeout_s=0.3).exit_code == -1
     with pytest.raises(OSError):
         run_process("/no/such/command", [])
+    stop = threading.Event()
+    threading.Timer(0.3, stop.set).start()
+    began = time.monotonic()
+    assert run_process(sys.executable, ["-c", "import time; time.sleep(30)"], cancel=stop).exit_code == -1
+    assert run_process(sys.executable, ["-c", "import time; time.sleep(30)"], cancel=stop).exit_code == -1  # set before
+    assert time.monotonic() - began < 10
+    assert run_process(sys.executable, ["-c", "print(1)"], cancel=threading.Event()).stdout == "1\n"
 
 
 class Fake:
     def __init__(self, version=(0, " 1.0\nx ", ""), scan=(0, json.dumps(DOC), " note ")):
         self.answers = {"--version": version, "fs": scan}
 
-    def __call__(self, command, arguments, timeout_s=None):
+    def __call__(self, command, arguments, timeout_s=None, cancel=None):
         answer = self.answers[arguments[0]]
         if isinstance(answer, Exception):
             raise answer
@@ -130,7 +139,7 @@ def test_scanner(spark):
     assert CommandScanner(run=Fake((1, "", ""))).check_availability().reason == "Trivy returned a non-zero exit code."
     assert CommandScanner(run=Fake(OSError("gone"))).check_availability().reason == "gone"
     assert CommandScanner(run=Fake()).scan("/x").diagnostics == ["note"]
-    with pytest.raises(RuntimeError, match=r"\(2\): bad"):
+    with pytest.raises(RuntimeError, match=r"code 2 .*: bad"):
         CommandScanner(run=Fake(scan=(2, "", "bad\n"))).scan("/x")
     rows = availability_rows(spark, [CommandScanner(run=Fake()), CommandScanner(run=Fake(OSError("gone")))])
     assert [r.line for r in report.availability_lines(rows).collect()] == ["OK       Trivy              1.0\nx", "MISSING  Trivy              gone"]
@@ -144,10 +153,10 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["scan", str(tmp_path), "--json"], good) == 0
     said = capsys.readouterr()
-    assert json.loads(said.out)["correlatedFindingCount"] == 2 and "Running" not in said.err
+    assert json.loads(said.out)["correlatedFindingCount"] == 2 and "scanning" not in said.err
     assert cli.main(["scan", str(tmp_path)], [*good, CommandScanner(run=Fake(OSError("gone")))]) == 0
     said = capsys.readouterr()
-    assert "2 correlated finding(s) (3 raw)" in said.out and "Skipping Trivy: gone" in said.err
+    assert "2 correlated finding(s) (3 raw)" in said.out and "Trivy: left out, gone" in said.err
     assert cli.main(["scan", str(tmp_path)], [CommandScanner(run=Fake(OSError("gone")))]) == 1
     assert cli.main(["scan", str(tmp_path)], [CommandScanner(run=Fake(scan=(1, "", "x")))]) == 1
 
