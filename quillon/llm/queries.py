@@ -11,7 +11,7 @@ from quillon.functions.text import letters_and_digits
 from quillon.llm import batches, folding, mixing, packing, subjects, survivors, terms
 from quillon.llm.tokens import sized
 from quillon.operators.dedupe import once
-from quillon.session import configure
+from quillon.session import configure, staged
 from quillon.sources.reports import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,8 +137,79 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("subject", "documents", (F.col("documents") / total.scalar()).alias("share"))
 
 
+def _broken(rules: dict[str, DataFrame]) -> DataFrame:
+    """rule, broken: how many rows break each rule; each frame holds those that do."""
+    out: DataFrame | None = None
+    for name, df in rules.items():
+        counted = df.agg(F.lit(name).alias("rule"), F.count("*").alias("broken"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+def p3_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for the repeats of batches: the records that break a rule, and how many share a fingerprint with an
+    earlier one of their repository."""
+    configure(spark)
+    scans, findings = table(spark, folder, "scans"), table(spark, folder, "batch_findings")
+    rows = staged(batches.records(scans, findings))
+    found = staged(batches.repeats(scans, findings))
+    of = lambda x: rows.select(*(F.col(c).alias(f"{c}_{x}") for c in ("repo", "at", "print")), F.col("rec_id").alias(f"id_{x}"))
+    both = staged(found.join(of("a"), "id_a").join(of("b"), "id_b").select("*", F.when(F.col("at_a") < F.col("at_b"), F.col("id_b")).otherwise(F.col("id_a")).alias("repeat"), F.when(F.col("at_a") < F.col("at_b"), F.col("id_a")).otherwise(F.col("id_b")).alias("first")))
+    prints = rows.where("print is not null").groupBy("repo", "print").agg(F.min("at").alias("since"))
+    return _broken({
+        "both records have a batch": found.join(both, ["id_a", "id_b"], "left_anti"),
+        "both are of one repository": both.where("repo_a <> repo_b"),
+        "one is of an earlier batch": both.where("at_a = at_b"),
+        "what is repeated repeats nothing": both.select(F.col("first").alias("id")).distinct().join(both.select(F.col("repeat").alias("id")), "id", "left_semi"),
+        "a fingerprint is accepted in one batch": rows.where("print is not null").join(both.select(F.col("repeat").alias("rec_id")), "rec_id", "left_anti").groupBy("repo", "print").agg(F.countDistinct("at").alias("n")).where("n > 1"),
+        "a fingerprint seen before, or not": rows.join(prints, ["repo", "print"]),
+    })
+
+
+def p7_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for containers: the rows that break a rule, and the number of documents placed."""
+    placed = staged(_packed(spark, folder))
+    docs = sized(once(table(spark, folder, "documents").select("doc_id", "text"), "doc_id"))
+    whole = staged(placed.groupBy("item").agg(F.sum("size").alias("size"), F.count("*").alias("pieces"), F.countDistinct("start").alias("starts")).join(docs.withColumnRenamed("doc_id", "item"), "item"))
+    return _broken({
+        "no container holds more than fits": packing.containers(placed, CAPACITY).where("unused < 0"),
+        "all of a document is placed": whole.where("size <> tokens or starts <> pieces"),
+        "only what is too long is split": whole.where(F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("tokens") / CAPACITY))),
+        "documents placed": placed.select("item").distinct(),
+    })
+
+
+def p8_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for the mix: the rows that break a rule, and the number of targets."""
+    mix, report = _mixed(spark, folder)
+    mix, report = staged(mix), staged(report)
+    own = once(table(spark, folder, "documents").select("doc_id", mixing.source_key(F.col("source")).alias("own")), "doc_id")
+    uses = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used"))
+    return _broken({
+        "no document is used beyond the cap": mix.join(report.select("source", "max_repeats"), "source").where("repeats < 1 or repeats > max_repeats"),
+        "a document counts for its source": mix.join(own, "doc_id").where("not source <=> own"),
+        "a document is listed once": mix.groupBy("doc_id").count().where("count > 1"),
+        "the sizes are those reported": report.join(uses, "source", "left").where("coalesce(used, 0) <> tokens"),
+        "the shares are met to within two documents": report.withColumn("all", report.agg(F.sum("tokens").alias("t")).scalar()).withColumn("longest", mix.agg(F.max("tokens").alias("t")).scalar()).where("abs(tokens - wanted_share * all) > 2 * longest"),
+        "targets": report,
+    })
+
+
+def p9_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for subject areas: the rows that break a rule, and the number of subjects."""
+    found = staged(_assigned(spark, folder))
+    named = table(spark, folder, "subjects").select("subject").distinct()
+    return _broken({
+        "subjects are those of the table": found.join(named, "subject", "left_anti"),
+        "a subject is given once": found.groupBy("doc_id", "subject").count().where("count > 1"),
+        "documents have text": found.join(table(spark, folder, "documents").where("text is not null and trim(text) <> ''"), "doc_id", "left_anti"),
+        "a good part deals with it": found.where(F.col("share") < subjects.PART - 1e-9),
+        "subjects": named,
+    })
+
+
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_terms, p1_ngrams, p3_found, p4_found, p4_groups, p6_found, p6_survivors, p7_placements, p7_containers, p8_mix, p8_shares, p9_found, p9_composition)
+    found = (p1_found, p1_terms, p1_ngrams, p3_found, p4_found, p4_groups, p6_found, p6_survivors, p7_placements, p7_containers, p8_mix, p8_shares, p9_found, p9_composition, p3_rules, p7_rules, p8_rules, p9_rules)
     return {f.__name__: f for f in found}
 
 
@@ -175,6 +246,16 @@ g AS (SELECT doc_id, n AS size, array_to_string(list_slice(w, pos, pos + n - 1),
 SELECT size, gram, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY size, gram"""
 
 
+_REPOSITORY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(target.repository_url), e' \t\n\r'), '^[a-z+]+://', ''), '^[^@/]*@', ''), '^([^/:]+):', '\1/'), '(\.git)?/*$', '')"""
+_PRINTED = f"""(WITH s AS (SELECT DISTINCT ON (scan_id) scan_id, {_REPOSITORY} AS repo FROM scans WHERE feed = 'batch' AND started_at IS NOT NULL), r AS (SELECT DISTINCT ON (rec_id) rec_id, scan_id, fingerprint FROM batch_findings)
+SELECT count(*) FROM r JOIN s USING (scan_id) WHERE repo <> '' AND trim(fingerprint) <> '')"""
+
+
+def _rules(*kept: str, **counted: str) -> str:
+    """The rules that no row may break, and those for which SQL counts rows."""
+    return " UNION ALL ".join(f"SELECT '{name}' AS rule, CAST({value} AS BIGINT) AS broken" for name, value in {**dict.fromkeys(kept, "0"), **counted}.items())
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"{_TERMS} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
@@ -184,4 +265,8 @@ def oracle_sql() -> dict[str, str]:
         "p4_groups": f"{_COPIES} SELECT first_id, count(*) AS copies FROM g GROUP BY first_id HAVING count(*) > 1",
         "p6_found": _BEST,
         "p6_survivors": _SURVIVORS,
+        "p3_rules": _rules("both records have a batch", "both are of one repository", "one is of an earlier batch", "what is repeated repeats nothing", "a fingerprint is accepted in one batch", **{"a fingerprint seen before, or not": _PRINTED}),
+        "p7_rules": _rules("no container holds more than fits", "all of a document is placed", "only what is too long is split", **{"documents placed": "(SELECT count(DISTINCT doc_id) FROM documents)"}),
+        "p8_rules": _rules("no document is used beyond the cap", "a document counts for its source", "a document is listed once", "the sizes are those reported", "the shares are met to within two documents", targets="(SELECT count(*) FROM mix_targets)"),
+        "p9_rules": _rules("subjects are those of the table", "a subject is given once", "documents have text", "a good part deals with it", subjects="(SELECT count(*) FROM subjects)"),
     }

@@ -103,4 +103,4 @@ def marked(counts: DataFrame, total: DataFrame, rarer_than: int = 3, share: floa
     ``total`` is one row with the column ``total``. A term that is both (tiny collections) is rare.
     """
     mark = F.when(F.col("records") < rarer_than, F.lit("rare")).when(F.col("records") > F.col("total") * share, F.lit("common"))
-    return counts.join(F.broadcast(total.groupBy().agg(F.sum("total").alias("total")))).withColumn("mark", mark).drop("total")
+    return counts.withColumn("total", total.groupBy().agg(F.sum("total").alias("total")).scalar()).withColumn("mark", mark).drop("total")
