@@ -278,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
     ]
     place = f"report_id, {number('finding_pos')} AS finding_pos, finding_id"
     double = lambda x: f"CASE WHEN json_type({x}) IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN CAST(({x}) ->> '$' AS DOUBLE) END"
-    whole = lambda x: f"CASE WHEN {double(x)} = floor({double(x)}) THEN CAST({double(x)} AS BIGINT) END"
+    whole = lambda x: f"CASE WHEN {double(x)} = floor({double(x)}) THEN CAST(CAST({double(x)} AS BIGINT) AS VARCHAR) END"
     field = lambda name, said: f"{_sql_text(name)} AS {said}"
     plain = ", ".join(field(f"f -> '{n}'", n) for n in ("title", "description", "category", "severity", "evidence", "remediation", "fingerprint"))
     counts = " UNION ALL ".join(f"SELECT '{name}' AS child, count(*) AS rows, CAST(0 AS BIGINT) AS orphans FROM {source}" for name, source in (("locations", "l1"), ("identifiers", "i1"), ("metadata", "m1"), ("packages", "p1"), ("package_paths", "q1")))

@@ -185,7 +185,7 @@ def report_malformed(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of reports with wrongly typed, missing and broken parts."""
     f = normalize.findings(_malformed(spark, folder))
     place = (F.col(f"ord.{c}").cast("bigint").alias(c) for c in ("result_pos", "class_rank", "item_pos"))
-    return f.select("scan_id", *place, "title", "description", "severity", "remediation", F.col("scanner.rule_id").alias("rule_id"), F.col("location.path").alias("path"), F.col("location.start_line").alias("line"))
+    return f.select("scan_id", *place, "title", "description", "severity", "remediation", F.col("scanner.rule_id").alias("rule_id"), F.col("location.path").alias("path"), F.col("location.start_line").cast("string").alias("line"))
 
 
 def report_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
@@ -257,7 +257,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def _p5(name: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         configure(spark)
-        return getattr(nested, name)(nested.documents(table(spark, folder, "scan_reports")))
+        made = getattr(nested, name)(nested.documents(table(spark, folder, "scan_reports")))
+        return made.select(*(F.col(c).cast("string").alias(c) if kind == "bigint" and c != "report_id" else c for c, kind in made.dtypes))  # numbers that may be null
 
     return query
 
@@ -371,7 +372,7 @@ e(c, result_pos, class_rank, item_pos, title, description, severity, remediation
   (4, 0, 1, 2, 'Potential secret detected', NULL, 'unknown', '!', NULL, 't#', NULL), (4, 0, 1, 3, 'Potential secret detected', NULL, 'high', '!', NULL, 't#', NULL),
   (8, 0, 1, 0, 'R#', NULL, 'unknown', '!', 'R#', NULL, NULL), (8, 0, 2, 0, 'M#', 'm#', 'unknown', '', 'M#', NULL, NULL))
 SELECT k AS scan_id, CAST(result_pos AS BIGINT) AS result_pos, CAST(class_rank AS BIGINT) AS class_rank, CAST(item_pos AS BIGINT) AS item_pos, replace(title, '#', k) AS title, replace(CAST(description AS VARCHAR), '#', k) AS description,
-  severity, CASE remediation WHEN '!' THEN '{normalize.SECRET_REMEDIATION}' ELSE remediation END AS remediation, replace(rule_id, '#', k) AS rule_id, replace(path, '#', k) AS path, CAST(line AS BIGINT) AS line FROM o JOIN e USING (c)"""
+  severity, CASE remediation WHEN '!' THEN '{normalize.SECRET_REMEDIATION}' ELSE remediation END AS remediation, replace(rule_id, '#', k) AS rule_id, replace(path, '#', k) AS path, CAST(line AS VARCHAR) AS line FROM o JOIN e USING (c)"""
 
 _REPO = r"""regexp_replace(regexp_replace(regexp_replace(trim(lower(target.repository_url), e' \t\n\r'), '^[a-z+]+://', ''), '^[^@/]*@', ''), '(\.git)?/*$', '')"""
 _SQL_P2 = f"""WITH h0 AS (SELECT DISTINCT ON (scan_id) scan_id, completed_at, {_REPO} AS repo0, trim(target.branch) AS branch, regexp_replace(lower(target.commit_sha), '[^0-9a-f]', '', 'g') AS sha
