@@ -24,11 +24,13 @@ PRIME = np.uint64(2**31 - 1)
 
 
 def _fold(code: int) -> int:
-    """0 for what is skipped, else the character in lower case: letters, digits and marks stay."""
+    """0 for what is skipped, else the character in lower case: letters, digits and marks stay. A character whose lower case
+    takes more than one stays as it is."""
     c = chr(code)
     if unicodedata.category(c)[0] not in "LNM":
         return 0
-    return ord(c.lower()[0])
+    low = c.lower()
+    return ord(low) if len(low) == 1 else code
 
 
 @lru_cache(maxsize=1)

@@ -11,7 +11,7 @@ from quillon.llm import folding
 
 
 def canon(text):
-    return "".join(c.lower()[0] for c in text or "" if unicodedata.category(c)[0] in "LNM")
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "" if unicodedata.category(c)[0] in "LNM")
 
 
 def brute(rows):
@@ -26,7 +26,7 @@ def run(spark, rows, **options):
     return {(r.first_id, r.id) for r in folding.copies(df, ["title", "path"], ["cve"], **options).collect()}
 
 
-TEXT = st.one_of(st.none(), st.text(alphabet="aAbB éÉ -—“.😀𝐀1", max_size=6))
+TEXT = st.one_of(st.none(), st.text(alphabet="aAbB iIİ éÉ -—“.😀𝐀1", max_size=6))
 
 
 @settings(max_examples=5, deadline=None)
