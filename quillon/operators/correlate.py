@@ -2,10 +2,11 @@
 
 Order is the column ``ord``; findings that share it are told apart by ``id``. The fold keeps a primary for each group
 and replaces it when a later finding is strictly higher in (severity weight, confidence). A displaced primary joins the
-duplicates at the moment it is displaced. All of it is expressed with running windows.
+duplicates at the moment it is displaced. All of it is expressed with running windows over one hash partitioning.
 
-No task holds a whole group. Rows are parted by ranges of (group, position), windows run within a part, and what a part has
-to know of the others is added: only its first and its last group can lie in other parts too, so that is two rows a part.
+No task holds a group of more than ``LARGE`` rows. Larger ones are parted by ranges of (group, position), windows run within
+a part, and what a part has to know of the others is added: only its first and its last group can lie in other parts too,
+so that is two rows a part. The result is the same either way.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from quillon.schema import severity_weight
 from quillon.session import staged
 
 GROUP = ("scan_id", "group_fingerprint")
+#: Rows of a group, or groups of a scan, that one task sorts at most.
+LARGE = 1_000_000
 
 
 def prepared(findings: DataFrame) -> DataFrame:
@@ -48,6 +51,20 @@ def accepted(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("problem is null").drop("problem"), marked.where("problem is not null").select("scan_id", "id", "problem")
 
 
+def _large(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame | None:
+    """The keys with more than ``LARGE`` rows, if there are any."""
+    found = staged(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select(*keys))
+    return None if found.isEmpty() else found
+
+
+def _of(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows with or without some keys."""
+    same = F.lit(True)
+    for k in keys.columns:
+        same = same & rows[k].eqNullSafe(keys[k])
+    return rows.join(keys, same, how)
+
+
 def _parted(rows: DataFrame, keys: tuple[str, ...], *order: Column | str) -> tuple[DataFrame, DataFrame]:
     """The rows with ``part``, their range of (keys, order), and those of the first and last group of each part."""
     placed = staged(rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()))
@@ -69,42 +86,61 @@ def members(findings: DataFrame) -> DataFrame:
     """One row per finding with its part in its group.
 
     Adds group_fingerprint, role ('primary' or 'duplicate'), push_position (the order of the duplicates), source_first
-    (the finding brought a new source) and first_position of the group. Empty input gives no rows.
+    (the finding brought a new source) and first_position of the group. One shuffle on (scan_id, group_fingerprint)
+    serves all windows; the flat form can spill where a nested list could not. Empty input gives no rows.
     """
-    level = F.struct("weight", "confidence")
-    placed, ends = _parted(prepared(findings), GROUP, "position")
-    across = Window.partitionBy(*GROUP).orderBy("part")
-    before, behind = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (across, Window.partitionBy(*GROUP).orderBy(F.desc("part"))))
-    known = ends.groupBy("part", *GROUP).agg(F.max(level).alias("top"), F.min("position").alias("first"))
-    known = known.select("part", *GROUP, F.max("top").over(before).alias("top_before"), F.min("first").over(Window.partitionBy(*GROUP)).alias("group_first"))
-    records = _beside(ends, known, GROUP, "inner").where(F.col("top_before").isNull() | (level > F.col("top_before"))).groupBy("part", *GROUP).agg(F.min("position").alias("record"))
-    records = _beside(known, records, GROUP, "left").select("part", *GROUP, "top_before", "group_first", F.min("record").over(behind).alias("record_behind"))
-    first_part = F.min("part").over(Window.partitionBy(*GROUP, "source_key"))
-    seen = ends.select("part", *GROUP, "source_key").distinct().withColumn("first_part", first_part).where("first_part < part").withColumnRenamed("source_key", "s_key").withColumn("seen", F.lit(True))
-    again = seen.select(F.col("part").alias("s_part"), *(F.col(k).alias(f"s_{k}") for k in GROUP), "s_key", "seen")
-    same = (F.col("part") == F.col("s_part")) & (F.col("source_key") == F.col("s_key"))
-    for k in GROUP:
-        same = same & F.col(k).eqNullSafe(F.col(f"s_{k}"))
+    rows = prepared(findings)
+    large = _large(rows, GROUP)
+    if large is None:
+        return _told(rows, GROUP)
+    small = _told(_of(rows, large, "left_anti"), GROUP)
+    return small.unionByName(_members_of_large(_of(rows, large, "left_semi")).select(*small.columns))
 
-    group = Window.partitionBy("part", *GROUP)
+
+def _told(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The windows of ``members`` over whole groups, or over parts of groups with what they know of the others."""
+    level = F.struct("weight", "confidence")
+    group = Window.partitionBy(*keys)
     forward = group.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     # the same as a frame over the following rows, which would be quadratic
     backward = group.orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, -1)
-    source = Window.partitionBy("part", *GROUP, "source_key").orderBy("position")
-    best: Column = F.greatest(F.max(level).over(forward), F.col("top_before"))
+    source = Window.partitionBy(*keys, "source_key").orderBy("position")
+    best: Column = F.max(level).over(forward)
+    behind: Column = F.min(F.when(F.col("is_record"), F.col("position"))).over(backward)
+    first: Column = F.min("position").over(group)
+    new: Column = F.row_number().over(source) == 1
+    if "part" in keys:
+        best, behind, first, new = F.greatest(best, "top_before"), F.coalesce(behind, "record_behind"), F.coalesce("group_first", first), new & F.col("seen").isNull()
     return (
-        _beside(placed, records, GROUP, "left")
-        .join(again, same, "left")
-        .withColumn("is_record", best.isNull() | (level > best))
-        .withColumn("next_record", F.coalesce(F.min(F.when(F.col("is_record"), F.col("position"))).over(backward), F.col("record_behind")))
-        .withColumn("first_position", F.coalesce(F.col("group_first"), F.min("position").over(group)))
-        .withColumn("source_first", (F.row_number().over(source) == 1) & F.col("seen").isNull())
+        rows.withColumn("is_record", best.isNull() | (level > best))
+        .withColumn("next_record", behind)
+        .withColumn("first_position", first)
+        .withColumn("source_first", new)
         .withColumn("role", F.when(F.col("is_record") & F.col("next_record").isNull(), F.lit("primary")).otherwise(F.lit("duplicate")))
         .withColumn("push_position", F.when(F.col("is_record"), F.col("next_record")).otherwise(F.col("position")))
-        .drop("part", "is_record", "next_record", "top_before", "group_first", "record_behind", "seen", "s_part", "s_key", *(f"s_{k}" for k in GROUP))
+        .drop("is_record", "next_record")
     )
 
 
+def _members_of_large(rows: DataFrame) -> DataFrame:
+    level = F.struct("weight", "confidence")
+    placed, ends = _parted(rows, GROUP, "position")
+    across = Window.partitionBy(*GROUP).orderBy("part")
+    before, behind = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (across, Window.partitionBy(*GROUP).orderBy(F.desc("part"))))
+    known = ends.groupBy("part", *GROUP).agg(F.max(level).alias("top"), F.min("position").alias("first"))
+    known = known.select("part", *GROUP, F.max("top").over(before).alias("top_before"), F.min("first").over(Window.partitionBy(*GROUP)).alias("group_first"))
+    records = _beside(ends, known, GROUP, "inner").where(F.col("top_before").isNull() | (level > F.col("top_before"))).groupBy("part", *GROUP).agg(F.min("position").alias("record"))
+    records = _beside(known, records, GROUP, "left").select("part", *GROUP, "top_before", "group_first", F.min("record").over(behind).alias("record_behind"))
+    # sources that an earlier part of the group has had; a group can have many, so this is a plain join
+    first_part = F.min("part").over(Window.partitionBy(*GROUP, "source_key"))
+    again = ends.select("part", *GROUP, "source_key").distinct().withColumn("first_part", first_part).where("first_part < part")
+    again = again.select(*(F.col(c).alias(f"s_{c}") for c in ("part", *GROUP, "source_key")), F.lit(True).alias("seen"))
+    same = F.lit(True)
+    for c in ("part", *GROUP, "source_key"):
+        same = same & F.col(c).eqNullSafe(F.col(f"s_{c}"))
+    return _told(_beside(placed, records, GROUP, "left").join(again, same, "left"), ("part", *GROUP))
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """Primary and counts of each group by one partial aggregate, without windows or nested lists.
 
@@ -171,15 +207,20 @@ def ranked(groups: DataFrame) -> DataFrame:
 
 
 def group_rank(groups: DataFrame) -> DataFrame:
-    """Add group_rank (from 1), the place ``ranked`` gives each group within its scan. No task ranks a whole scan: a rank is
-    the place within a part plus the groups of the scan in the parts before."""
+    """Add group_rank (from 1), the place ``ranked`` gives each group within its scan. In scans of more than ``LARGE`` groups
+    a rank is the place within a part plus the groups of the scan in the parts before."""
     order = (-severity_weight(F.col("primary.severity"))).alias("w"), (-F.col("primary.confidence")).alias("c")
     keyed = groups.select("*", F.struct(*order, F.col("first_position").alias("p")).alias("rank_key"))
-    placed, ends = _parted(keyed, ("scan_id",), "rank_key")
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("rank_key")).cast("bigint")
+    large = _large(groups, ("scan_id",))
+    if large is None:
+        return keyed.withColumn("group_rank", place("scan_id")).drop("rank_key")
+    placed, ends = _parted(_of(keyed, large, "left_semi"), ("scan_id",), "rank_key")
     before = Window.partitionBy("scan_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offset = ends.groupBy("part", "scan_id").agg(F.count("*").alias("n")).select("part", "scan_id", F.sum("n").over(before).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("part", "scan_id").orderBy("rank_key"))
-    return _beside(placed, offset, ("scan_id",), "left").withColumn("group_rank", (place + F.coalesce("offset", F.lit(0))).cast("bigint")).drop("part", "rank_key", "offset")
+    ranked_ = _beside(placed, offset, ("scan_id",), "left").withColumn("group_rank", place("part", "scan_id") + F.coalesce("offset", F.lit(0)))
+    small = _of(keyed, large, "left_anti").withColumn("group_rank", place("scan_id"))
+    return small.unionByName(ranked_.select(*small.columns)).drop("rank_key")
 
 
 def counts(findings: DataFrame) -> DataFrame:
