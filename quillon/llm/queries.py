@@ -34,10 +34,19 @@ def _terms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return rows.select("id", F.inline(fields)), rows.agg(F.count("*").alias("total"))
 
 
+#: Terms of the longest run of terms counted in a record's list.
+RUN = 2
+
+
 def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences, records and mark of every term of the four fields."""
     lists, total = _terms(spark, folder)
-    return terms.marked(terms.ngrams(lists), total).select("field", F.col("gram").alias("term"), "occurrences", "records", "mark")
+    return terms.marked(terms.ngrams(lists, RUN).where("size = 1"), total).select("field", F.col("gram").alias("term"), "occurrences", "records", "mark")
+
+
+def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences and records of every two terms that stand behind each other in a record's list."""
+    return terms.ngrams(_terms(spark, folder)[0], RUN).where("size = 2").select("field", F.col("gram").alias("pair"), "occurrences", "records")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,7 +218,7 @@ def p9_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_terms, p1_ngrams, p3_found, p4_found, p4_groups, p6_found, p6_survivors, p7_placements, p7_containers, p8_mix, p8_shares, p9_found, p9_composition, p3_rules, p7_rules, p8_rules, p9_rules)
+    found = (p1_found, p1_terms, p1_pairs, p1_ngrams, p3_found, p4_found, p4_groups, p6_found, p6_survivors, p7_placements, p7_containers, p8_mix, p8_shares, p9_found, p9_composition, p3_rules, p7_rules, p8_rules, p9_rules)
     return {f.__name__: f for f in found}
 
 
@@ -219,6 +228,11 @@ t AS (SELECT id, 'rule_id' AS field, rule_id AS v FROM f UNION ALL SELECT id, 'c
 p AS (SELECT id, field, {_PLAIN.format("v")} AS term FROM t),
 c AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT id) AS records FROM p WHERE term <> '' GROUP BY field, term),
 m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.05 * (SELECT count(*) FROM f) THEN 'common' END AS mark FROM c)"""
+_PAIRS = f"""WITH f AS (SELECT DISTINCT ON (id) id, identifiers.cve AS cve, identifiers.cwe AS cwe FROM findings),
+l AS (SELECT id, 'cve' AS field, cve AS v FROM f UNION ALL SELECT id, 'cwe', cwe FROM f),
+t AS (SELECT id, field, list_filter(list_transform(v, lambda x: {_PLAIN.format("x")}), lambda x: x <> '') AS w FROM l),
+p AS (SELECT id, field, w, unnest(range(1, len(w))) AS i FROM t)
+SELECT field, w[i] || ' ' || w[i + 1] AS pair, count(*) AS occurrences, count(DISTINCT id) AS records FROM p GROUP BY ALL"""
 _KEPT = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')"
 _COPIES = f"""WITH f AS (SELECT DISTINCT ON (id) id, title, location.path AS path, identifiers.cve AS cve FROM findings WHERE id IS NOT NULL),
 k AS (SELECT id, coalesce({_KEPT.format("title")}, '') AS t, coalesce({_KEPT.format("path")}, '') AS p,
@@ -260,6 +274,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"{_TERMS} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
         "p1_terms": f"{_TERMS} SELECT field, term, occurrences, records, mark FROM m",
+        "p1_pairs": _PAIRS,
         "p1_ngrams": _NGRAMS,
         "p4_found": f"{_COPIES} SELECT first_id AS id_a, id AS id_b FROM g WHERE id <> first_id",
         "p4_groups": f"{_COPIES} SELECT first_id, count(*) AS copies FROM g GROUP BY first_id HAVING count(*) > 1",
