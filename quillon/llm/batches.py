@@ -39,6 +39,8 @@ from quillon.session import shared_folder, staged
 TITLE_SHARE, TITLE_MOST = 3, 4
 #: Word edits between descriptions by words of the longer one, and words in common by all words of either.
 BODY, SHARED = 0.4, 0.6
+#: Words of a piece that is laid on the other text as one; longer sentences are laid in several.
+PIECE = 64
 
 PAIR = "text_a long, text_b long"
 
@@ -176,14 +178,17 @@ def best_place(piece: list[str], text: list[str | None], low: int, high: int) ->
 
 
 def _laid(pieces: list[str], other: list[str], most: int) -> int:
-    """Word edits if each sentence of ``pieces`` is laid where it fits the text of ``other`` best."""
+    """Word edits if each sentence of ``pieces`` is laid where it fits the text of ``other`` best, the longest first."""
     text: list[str | None] = [w for s in other for w in s.split(" ")]
     where: dict[str, list[int]] = {}
     for at, w in enumerate(text):
         where.setdefault(w, []).append(at)
     total, free = 0, len(text)
-    for piece in sorted((p.split(" ") for p in pieces), key=len, reverse=True):
-        rare = sorted((len(where[w]), j) for j, w in enumerate(piece) if w in where)[:3]
+    listed = [p.split(" ") for p in pieces]
+    for piece in sorted((p[i : i + PIECE] for p in listed for i in range(0, len(p), PIECE)), key=len, reverse=True):
+        for w in set(piece) & where.keys():  # places that are taken don't come back
+            where[w] = [at for at in where[w] if text[at] is not None]
+        rare = sorted((len(where[w]), j) for j, w in enumerate(piece) if where.get(w))[:3]
         starts = Counter(at - j for _, j in rare for at in where[piece[j]])
         best = (len(piece), 0, 0)
         for start, _ in sorted(starts.items(), key=lambda x: (-x[1], x[0])):

@@ -1,6 +1,7 @@
 """Repeats across batches against comparing everything in order."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 from hypothesis import given, settings
@@ -132,6 +133,22 @@ def test_small_data_against_comparing_all(spark):
     assert len(got) > 300 and got == brute_of([r.asDict() for r in batches.records(scans, rows).collect()])
 
 
+def test_long_texts_are_verified_in_time():
+    rng = random.Random(2)
+    began = time.monotonic()
+    one = " ".join(f"w{rng.randrange(3000)}" for _ in range(30_000))  # one sentence without an end
+    words = one.split()
+    for _ in range(2000):
+        words[rng.randrange(len(words))] = "x"
+    assert batches.say_the_same("t", [one], "t", [" ".join(words[5000:] + words[:5000])])
+    assert not batches.say_the_same("t", [one], "t", [" ".join(reversed(words))])
+    same = "again and again the same line stands here"
+    assert batches.say_the_same("t", [" ".join([same] * 4000)], "t", [" ".join([same] * 3900)])
+    listed = [f"row {i} is here and there" for i in range(4000)]
+    assert batches.say_the_same("t", sorted(listed), "t", sorted(x.replace("and", "or") for x in listed))
+    assert time.monotonic() - began < 60
+
+
 def test_failed_and_repeated_delivery(spark, tmp_path, monkeypatch):
     batch = lambda *rows: batches.records(spark.createDataFrame([scan(i) for i in range(1, 4)], SCANS), spark.createDataFrame(rows, ROWS))
     index = batches.SegmentIndex(spark, str(tmp_path / "index"))
