@@ -39,6 +39,8 @@ from quillon.session import shared_folder, staged
 TITLE_SHARE, TITLE_MOST = 3, 4
 #: Word edits between descriptions by words of the longer one, and words in common by all words of either.
 BODY, SHARED = 0.4, 0.6
+#: Texts of a group from which its earliest one is compared with all first. Changes the work, not the result.
+GROUPED = 16
 #: Words of a piece that is laid on the other text as one; longer sentences are laid in several.
 PIECE = 64
 
@@ -393,31 +395,35 @@ class SegmentIndex:
         both = lambda df: df.unionByName(df.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b")))
         joined = lambda pairs: pairs.select(F.col("text_a").alias("text"), F.col("text_b").alias("other")).unionByName(state.select("text", F.col("text").alias("other"))).distinct()
 
-        # the earliest of each group of three texts or more with one segment and one smallest hash of a word
+        # the earliest of each large group of texts with one segment and one smallest hash of a word
         hashes = lambda seed: F.array_min(F.flatten(F.transform("body", lambda s: F.transform(F.split(s, " "), lambda w: F.xxhash64(F.lit(seed), w)))))
         open_texts = state.where("status = 'open'").select("text").distinct()
         marks = named.where("rec_id = text").join(open_texts, "text", "left_semi").select("text", "since", F.explode(F.array(hashes(1), hashes(2))).alias("mark"))
         groups = texts.segments.join(marks, "text").groupBy("key", "mark").agg(F.count("*").alias("n"), F.min(F.struct("since", "text"))["text"].alias("leader"))
-        leaders = staged(groups.where("n > 2").select(F.col("leader").alias("text")).distinct())
-        known = staged(both(texts.only(leaders).links(texts)).distinct())
-        state = state.join(leaders.withColumn("lead", F.lit(True)), "text", "left").select("rec_id", "repo", "at", "print", "text", "status", F.coalesce("lead", F.lit(False)).alias("known"))
-        state = _settled(staged(state), staged(joined(known)))
+        leaders = staged(groups.where(F.col("n") >= GROUPED).select(F.col("leader").alias("text")).distinct())
+        known = self.spark.createDataFrame([], PAIR)
+        if not leaders.isEmpty():
+            known = staged(both(texts.only(leaders).links(texts)).distinct())
+            state = state.join(leaders.withColumn("lead", F.lit(True)), "text", "left").select("rec_id", "repo", "at", "print", "text", "status", F.coalesce("lead", F.lit(False)).alias("known"))
+            state = _settled(staged(state), staged(joined(known)))
 
         # all pairs of what is left
         done = staged(state.groupBy("text").agg(F.bool_or((F.col("status") == "open") & ~F.col("known")).alias("left")).where("not left").select("text"))
-        inside = staged(known.unionByName(texts.without(done).links_inside()))
+        left_out = not done.isEmpty()
+        inside = staged(known.unionByName((texts.without(done) if left_out else texts).links_inside()))
         state = _settled(state.withColumn("known", F.lit(True)), staged(joined(inside)))
 
         # what was left out of the search: its links with what is accepted
         accepted = state.where("status = 'accepted'")
-        refused = state.groupBy("text").agg(F.bool_and(F.col("status") == "repeat").alias("all")).where("all").select("text")
-        more = texts.only(done.join(leaders, "text", "left_anti")).links(texts.without(refused.unionByName(leaders)))
+        if left_out:
+            refused = state.groupBy("text").agg(F.bool_and(F.col("status") == "repeat").alias("all")).where("all").select("text")
+            inside = inside.unionByName(texts.only(done.join(leaders, "text", "left_anti")).links(texts.without(refused.unionByName(leaders))))
         first = F.min(F.struct("at", "rec_id")).alias("first")
         repeat = state.where("status = 'repeat'")
         by_print = accepted.where("print is not null").groupBy("repo", "print").agg(first)
         by_text = accepted.groupBy("text").agg(first).withColumnRenamed("text", "other")
         same_print = repeat.join(by_print, ["repo", "print"])
-        same_text = repeat.join(joined(inside.unionByName(more)), "text").join(by_text, "other")
+        same_text = repeat.join(joined(inside), "text").join(by_text, "other")
         told = same_print.select("rec_id", "at", "first").unionByName(same_text.select("rec_id", "at", "first")).where("first.at < at")
         return state, staged(told.select("rec_id", F.col("first.rec_id").alias("first")).distinct())
 
