@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from quillon.functions.variant import let
 from quillon.operators.dedupe import once
 from quillon.operators.snapshots import repository_key
 from quillon.session import shared_folder, staged
@@ -395,8 +396,9 @@ class SegmentIndex:
         both = lambda df: df.unionByName(df.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b")))
         joined = lambda pairs: pairs.select(F.col("text_a").alias("text"), F.col("text_b").alias("other")).unionByName(state.select("text", F.col("text").alias("other"))).distinct()
 
-        # the earliest of each large group of texts with one segment and one smallest hash of a word
-        hashes = lambda seed: F.array_min(F.flatten(F.transform("body", lambda s: F.transform(F.split(s, " "), lambda w: F.xxhash64(F.lit(seed), w)))))
+        # the earliest of each large group of texts with one title segment and one smallest hash of three words
+        triples = lambda seed, w: F.transform(w, lambda x, i: F.xxhash64(F.lit(seed), x, F.get(w, i + 1), F.get(w, i + 2)))
+        hashes = lambda seed: F.array_min(F.flatten(F.transform("body", lambda s: let(F.split(s, " "), lambda w: triples(seed, w)))))
         open_texts = state.where("status = 'open'").select("text").distinct()
         marks = named.where("rec_id = text").join(open_texts, "text", "left_semi").select("text", "since", F.explode(F.array(hashes(1), hashes(2))).alias("mark"))
         groups = texts.segments.join(marks, "text").groupBy("key", "mark").agg(F.count("*").alias("n"), F.min(F.struct("since", "text"))["text"].alias("leader"))
