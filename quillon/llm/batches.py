@@ -397,11 +397,12 @@ class SegmentIndex:
         joined = lambda pairs: pairs.select(F.col("text_a").alias("text"), F.col("text_b").alias("other")).unionByName(state.select("text", F.col("text").alias("other"))).distinct()
 
         # the earliest of each large group of texts with one title segment and one smallest hash of three words
-        triples = lambda seed, w: F.transform(w, lambda x, i: F.xxhash64(F.lit(seed), x, F.get(w, i + 1), F.get(w, i + 2)))
-        hashes = lambda seed: F.array_min(F.flatten(F.transform("body", lambda s: let(F.split(s, " "), lambda w: triples(seed, w)))))
-        open_texts = state.where("status = 'open'").select("text").distinct()
-        marks = named.where("rec_id = text").join(open_texts, "text", "left_semi").select("text", "since", F.explode(F.array(hashes(1), hashes(2))).alias("mark"))
-        groups = texts.segments.join(marks, "text").groupBy("key", "mark").agg(F.count("*").alias("n"), F.min(F.struct("since", "text"))["text"].alias("leader"))
+        triples = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+        smallest = F.array_min(F.flatten(F.transform("body", lambda s: let(F.split(s, " "), triples))))
+        shared = texts.segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= GROUPED).select("key")
+        dense = staged(texts.segments.join(shared, "key", "left_semi").select("key", "text"))
+        marks = named.where("rec_id = text").join(dense.select("text").distinct(), "text", "left_semi").join(state.where("status = 'open'").select("text").distinct(), "text", "left_semi").select("text", "since", smallest.alias("mark"))
+        groups = dense.join(marks, "text").groupBy("key", "mark").agg(F.count("*").alias("n"), F.min(F.struct("since", "text"))["text"].alias("leader"))
         leaders = staged(groups.where(F.col("n") >= GROUPED).select(F.col("leader").alias("text")).distinct())
         known = self.spark.createDataFrame([], PAIR)
         if not leaders.isEmpty():
